@@ -3,13 +3,13 @@
 Grammar of the formatted text of one conversation, turns in order::
 
     turn  := "<s>[INST] " role "[/INST]" mark text "</s>"
-    mark  := " "   text and role as they are
+    mark  := " "   text and role as they are, without any control string
            | "~"   "~", "<" and "[" in text and role written "~0", "~1", "~2"
 
 The parser is deterministic: it cuts at ``</s>``, takes the role up to the first
 ``[/INST]``, reads one mark and undoes the escapes that it names. Each turn is
 first rendered plain and reparsed; where the result isn't exactly the turn (a
-text holds a control string, say) it is rendered escaped, which leaves no ``<``
+text holds a control string) it is rendered escaped, which leaves no ``<``
 or ``[`` and so no control string inside, and compared once more. A turn that
 still differed would fail the job.
 
@@ -75,15 +75,19 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     """conv_id, formatted, loss_runs (skip, take, tail), escaped_turns."""
     t = turns.select("conv_id", "turn", F.col("role").alias("_r"), F.col("text").alias("_x"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def same(rendered: Column) -> Column:
+    def same(rendered: Column, inside: Column) -> Column:
         pieces = F.split(rendered, END, -1)
         back = parse_turn(F.get(pieces, F.lit(0)))
-        return (F.size(pieces) == 2) & F.startswith(rendered, F.lit(OPEN)) & (back["role"] == F.col("role")) & (back["text"] == F.col("text"))
+        free = F.lit(True)
+        for control in CONTROL:
+            free = free & ~F.contains(inside, F.lit(control))
+        return free & (F.size(pieces) == 2) & F.startswith(rendered, F.lit(OPEN)) & (back["role"] == F.col("role")) & (back["text"] == F.col("text"))
 
     t = t.withColumn("_plain", render(F.col("role"), F.col("text"), False))
-    t = t.withColumn("_ok", same(F.col("_plain")))
+    said = F.concat(F.col("role"), F.lit("\n"), F.col("text"))
+    t = t.withColumn("_ok", same(F.col("_plain"), said))
     t = t.withColumn("_out", F.when(F.col("_ok"), F.col("_plain")).otherwise(render(F.col("role"), F.col("text"), True)))
-    t = t.withColumn("_out", F.when(F.col("_ok") | same(F.col("_out")), F.col("_out")).otherwise(F.raise_error(F.lit("a turn does not survive its round trip"))))
+    t = t.withColumn("_out", F.when(F.col("_ok") | same(F.col("_out"), escape(said)), F.col("_out")).otherwise(F.raise_error(F.lit("a turn does not survive its round trip"))))
     rows = t.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "_r", "_out", (F.col("role") == loss_role).alias("loss"), (~F.col("_ok")).cast("int").alias("esc")))).alias("_turns")
     )
@@ -140,7 +144,7 @@ WITH t AS (
   SELECT conv_id, turn, role AS r0, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', 'assistant', '</s>[INST] ok [/INST]'
 ), e AS (
-  SELECT *, contains(text || '</s>', '</s>') AND strpos(text || '</s>', '</s>') <= length(text) OR contains(role, '</s>') OR contains(role || '[/INST', '[/INST]') AS esc FROM t
+  SELECT *, regexp_matches(role || chr(10) || text, '<s>|</s>|\[INST\]|\[/INST\]') AS esc FROM t
 ), f AS (
   SELECT *, 10 + 7 + 1 + 4 + length(role) + length(text)
     + CASE WHEN esc THEN length(regexp_replace(role || text, '[^~<\[]', '', 'g')) ELSE 0 END AS chars FROM e
