@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, chat, exact_dedup, mixing, quality_rules, simhash, url_filters
+from corpusloom.llm import bpe, chat, crf, exact_dedup, mixing, quality_rules, simhash, url_filters
 from corpusloom.llm.common import read
 
 QUERIES = {
     "op1_chat_formatting": lambda spark, d: chat.report(read(spark, d, "conversations")),
     "op2_quality_rules": lambda spark, d: quality_rules.report(read(spark, d, "documents")),
     "op3_exact_dedup": lambda spark, d: exact_dedup.report(read(spark, d, "documents")),
+    "op4_quality_classifier": lambda spark, d: crf.report(read(spark, d, "documents"), read(spark, d, "labels")),
     "op5_byte_bpe": lambda spark, d: bpe.report(read(spark, d, "documents")),
     "op7_url_filters": lambda spark, d: url_filters.report(read(spark, d, "pages")),
     "op9_simhash": lambda spark, d: simhash.report(read(spark, d, "documents")),
