@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, chat, crf, exact_dedup, mixing, quality_rules, simhash, url_filters
+from corpusloom.llm import bpe, chat, crf, exact_dedup, line_dedup, mixing, quality_rules, simhash, url_filters
 from corpusloom.llm.common import read
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_exact_dedup": lambda spark, d: exact_dedup.report(read(spark, d, "documents")),
     "op4_quality_classifier": lambda spark, d: crf.report(read(spark, d, "documents"), read(spark, d, "labels")),
     "op5_byte_bpe": lambda spark, d: bpe.report(read(spark, d, "documents")),
+    "op6_line_dedup": lambda spark, d: line_dedup.report(read(spark, d, "documents")),
     "op7_url_filters": lambda spark, d: url_filters.report(read(spark, d, "pages")),
     "op9_simhash": lambda spark, d: simhash.report(read(spark, d, "documents")),
     "op10_mixing": lambda spark, d: mixing.mixing_report(read(spark, d, "documents")),
