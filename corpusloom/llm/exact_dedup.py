@@ -45,7 +45,8 @@ def radix_groups(rows: DataFrame, scratch: Scratch, block: int = FIRST_BLOCK, wi
         })
         groups = keyed.groupBy("gid", "block", "ended").count().where("count > 1").drop("count")
         groups, groups_at = scratch.save(groups.withColumn("next_gid", F.monotonically_increasing_id()))
-        split = keyed.join(groups, ["gid", "block", "ended"], "left").select(
+        # merged at every size: a broadcast of the groups would end with their growth
+        split = keyed.join(groups.hint("merge"), ["gid", "block", "ended"], "left").select(
             *keep, F.lit(level).alias("level"), F.col("next_gid").alias("gid"),
             F.when(F.col("next_gid").isNotNull() & ~F.col("ended"), F.substring("rest", block + 1, 2**31 - 1)).alias("rest"),
         )
@@ -72,7 +73,8 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     joined = copies.join(best, ["level", "gid"])
     alone = found.where("gid is null").withColumns({"group_size": F.lit(1).cast("long"), "keep_id": F.col("doc_id")})
     columns = ["doc_id", "keep_id", "group_size", "text_sha256", "n_chars"]
-    chosen = F.row_number().over(Window.partitionBy("doc_id", "level", "gid").orderBy(F.desc("n_chars"))) == 1
+    # a partitioning of its own, by document: (level, gid) may be hot
+    chosen = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy(F.desc("n_chars"))) == 1
     joined = joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & chosen)
     return joined.select(*columns, "kept").unionByName(alone.select(*columns, F.lit(True).alias("kept")))
 
