@@ -2,12 +2,13 @@
 
 Pre-tokens come from the tokenizer's pattern. Within one, a linked list holds the
 current symbols and every adjacent pair that is in the vocabulary waits in the
-bucket of its merge rank. A three-level bitmap over the ranks tells the lowest
-bucket that isn't empty by three find-first-set steps; its positions are merged
+bucket of its merge rank. A two-level bitmap over the ranks tells the lowest
+bucket that isn't empty by two find-first-set steps; its positions are merged
 from left to right, entries that an earlier merge has made stale are skipped, and
-pairs that a merge forms are queued. Work is near linear in the pre-token's
-length, so very long ones do no harm. The ids of recent pre-tokens are cached, as
-most repeat; the cache is bounded and emptied when full.
+pairs that a merge forms are queued. Work is near linear in the bytes, so very long
+pre-tokens do no harm, and all new pre-tokens of a run of texts share one list and
+queue, no pair reaching from one to the next. The ids of recent pre-tokens are cached, as
+most repeat; the cache is bounded by two generations, of which the older goes.
 
 Only public rank files are read, from a path that is a parameter; on a cluster
 the file must be installed at that path on every node, as the tokenizer package is.
@@ -22,23 +23,25 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000  # in each of two generations
 CACHED_CHARS = 64
+RUN_CHARS = 1_000_000  # pre-tokens of so much text are encoded in one run
+RUN_ROWS = 500
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 
 
 class RankQueue:
-    """Buckets per rank under a bitmap of 64-way words."""
+    """Buckets per rank under a bitmap of two levels, 256-way."""
 
     def __init__(self, ranks: int):
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
+        self.low = [0] * ((ranks >> 8) + 1)
         self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
@@ -48,24 +51,26 @@ class RankQueue:
             bucket.append(position)
             return
         self.buckets[rank] = [position]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] |= 1 << (rank & 63)
-        self.mid[b] |= 1 << (a & 63)
-        self.top |= 1 << b
+        a = rank >> 8
+        if not self.low[a]:
+            self.top |= 1 << a
+        self.low[a] |= 1 << (rank & 255)
+
+    def put(self, rank: int, positions: list[int]) -> None:
+        """As many pushes into a bucket; it holds these alone then."""
+        self.buckets.pop(rank, None)
+        self.push(rank, positions[0])
+        self.buckets[rank] = positions
 
     def pop(self) -> tuple[int, list[int]]:
         """The lowest rank with its positions, which leave the queue."""
-        b = (self.top & -self.top).bit_length() - 1
-        word = self.mid[b]
-        a = (b << 6) | ((word & -word).bit_length() - 1)
+        a = (self.top & -self.top).bit_length() - 1
         word = self.low[a]
-        rank = (a << 6) | ((word & -word).bit_length() - 1)
+        rank = (a << 8) | ((word & -word).bit_length() - 1)
         word &= word - 1
         self.low[a] = word
         if not word:
-            self.mid[b] &= ~(1 << (a & 63))
-            if not self.mid[b]:
-                self.top &= ~(1 << b)
+            self.top &= self.top - 1
         return rank, self.buckets.pop(rank)
 
 
@@ -80,30 +85,58 @@ class Encoder(dict):
         self.tokens = {v: k for k, v in ranks.items()}
         self.find = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values()) + 1)
+        self.older: dict[str, bytes] = {}
+        self.of_two = np.full(65536, -1, dtype=np.int64)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.of_two[token[0] * 256 + token[1]] = rank
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8", "surrogatepass")
-        whole = self.ranks.get(raw)
-        ids = np.array([whole] if whole is not None else self.merge(raw), dtype="<u4").tobytes()
-        if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
+        self.learn([piece])
+        return self[piece]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode pre-tokens that are not in the cache, all in one queue."""
+        if len(self) + len(pieces) > CACHE_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+        older, ranks, left, raws = self.older.get, self.ranks.get, [], []
+        for piece in pieces:
+            ids = older(piece)
+            if ids is None:
+                raw = piece.encode("utf-8", "surrogatepass")
+                whole = ranks(raw)
+                if whole is None:
+                    left.append(piece)
+                    raws.append(raw)
+                    continue
+                ids = pack("<I", whole)
             self[piece] = ids
-        return ids
-
-    def merge(self, raw: bytes) -> list[int]:
-        n, rank_of, queue = len(raw), self.ranks.get, self.queue
-        if n == 1:
-            return [self.ranks[raw]]
+        if left:
+            self.update(zip(left, self.merge(raws), strict=True))
+
+    def merge(self, raws: list[bytes]) -> list[bytes]:
+        """Packed ids of each; the pre-tokens lie side by side in one list."""
+        raw = b"".join(raws)
+        n, rank_of, queue, ids = len(raw), self.ranks.get, self.queue, [self.ranks[bytes([b])] for b in raw]
+        ends = np.cumsum([len(r) for r in raws])
+        starts = [0, *ends[:-1].tolist()]
+        first = bytearray(n + 1)  # 1 where a pre-token starts
+        for s in starts:
+            first[s] = 1
+        first[n] = 1
+        codes = np.frombuffer(raw, np.uint8).astype(np.int64)
+        ranks = self.of_two[codes[:-1] * 256 + codes[1:]]
+        ranks[ends[:-1] - 1] = -1
+        pair = [*ranks.tolist(), -1]  # rank of the pair that starts here; -1: none or dead
+        order = np.argsort(ranks, kind="stable")
+        order = order[np.searchsorted(ranks[order], 0):]
+        known, cuts = np.unique(ranks[order], return_index=True)
+        for r, at in zip(known.tolist(), np.split(order, cuts[1:]), strict=False):
+            queue.put(r, at.tolist())
         after = list(range(1, n + 1))  # where the next symbol starts
-        before = list(range(-1, n - 1))
-        pair = [-1] * n  # the rank of the pair that starts here; -1: none or dead
-        push = queue.push
-        for i in range(n - 1):
-            r = rank_of(raw[i:i + 2])
-            if r is not None:
-                pair[i] = r
-                push(r, i)
+        before = list(range(-1, n))
+        push, buckets = queue.push, queue.buckets
         while queue.top:
             rank, at = queue.pop()
             at.sort()
@@ -111,44 +144,62 @@ class Encoder(dict):
                 if pair[i] != rank:
                     continue  # stale
                 j = after[i]
-                end = after[j]
+                after[i] = end = after[j]
                 pair[j] = -1
-                after[i] = end
+                before[end] = i
+                ids[i] = rank
                 lowest = rank + 1
-                if end < n:
-                    before[end] = i
-                    r = rank_of(raw[i:after[end]])
-                    if r is None:
-                        pair[i] = -1
+                r = -1 if first[end] else rank_of(raw[i:after[end]], -1)
+                pair[i] = r
+                if r >= 0:
+                    if r in buckets:
+                        buckets[r].append(i)
                     else:
-                        pair[i] = r
                         push(r, i)
-                        lowest = r
-                else:
-                    pair[i] = -1
-                h = before[i]
-                if h >= 0:
-                    r = rank_of(raw[h:end])
-                    if r is None:
-                        pair[h] = -1
-                    elif pair[h] != r:
+                    lowest = r
+                if not first[i]:
+                    h = before[i]
+                    r = rank_of(raw[h:end], -1)
+                    if r != pair[h]:
                         pair[h] = r
-                        push(r, h)
-                        lowest = min(lowest, r)
+                        if r >= 0:
+                            if r in buckets:
+                                buckets[r].append(h)
+                            else:
+                                push(r, h)
+                            if r < lowest:
+                                lowest = r
                 if lowest <= rank:  # a new pair goes first: put the rest back
-                    for p in at[k + 1:]:
-                        push(rank, p)
+                    if k + 1 < len(at):
+                        queue.put(rank, at[k + 1:] + buckets.get(rank, []))
                     break
-        ids, i = [], 0
-        while i < n:
-            j = after[i]
-            ids.append(self.ranks[raw[i:j]])
-            i = j
-        return ids
+        out = []
+        for s, e in zip(starts, ends.tolist(), strict=True):
+            found = []
+            while s < e:
+                found.append(ids[s])
+                s = after[s]
+            out.append(pack(f"<{len(found)}I", *found))
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each as little-endian unsigned 32-bit integers."""
+        out, at = [], 0
+        while at < len(texts):
+            pieces, size = [], 0
+            while at < len(texts) and size < RUN_CHARS:
+                pieces.append(self.find(texts[at]))
+                size += len(texts[at])
+                at += 1
+            new = set().union(*pieces) - self.keys()
+            self.learn(list(new))
+            out += [b"".join(map(self.__getitem__, p)) for p in pieces]
+            for piece in [x for x in new if len(x) > CACHED_CHARS]:
+                self.pop(piece, None)
+        return out
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.__getitem__, self.find(text)))
+        return self.encode_all([text])[0]
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
@@ -172,14 +223,13 @@ def default_tokenizer() -> tuple[str, str]:
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: doc_id, n_tokens, ids (packed), decoded (bytes of the decoded ids)."""
-    return _each(docs, path, pattern, text, key, lambda e, t: (len(ids := e.encode(t)) // 4, ids, e.decode(ids)), {"n_tokens": pa.int64(), "ids": pa.binary(), "decoded": pa.binary()})
+    return _each(docs, path, pattern, text, key, lambda e, ids: (len(ids) // 4, ids, e.decode(ids)), {"n_tokens": pa.int64(), "ids": pa.binary(), "decoded": pa.binary()})
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
-    def one(e: Encoder, t: str):
-        ids = e.encode(t)
+    def one(e: Encoder, ids: bytes):
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(e.decode(ids)).hexdigest()
 
     return _each(docs, path, pattern, text, key, one, {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()})
@@ -193,9 +243,11 @@ def _each(docs: DataFrame, path, pattern, text, key, one, fields: dict) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for batch in batches:
-            rows = [one(e, t.as_py() or "") for t in batch.column(1)]
-            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(fields.values())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *fields])
+            for at in range(0, batch.num_rows, RUN_ROWS):
+                part = batch.slice(at, RUN_ROWS)
+                rows = [one(e, ids) for ids in e.encode_all([t or "" for t in part.column(1).to_pylist()])]
+                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(fields.values())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", *fields])
 
     kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
     source = docs.select(F.col(key).alias("doc_id"), F.col(text))
