@@ -235,6 +235,28 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
     return _each(docs, path, pattern, text, key, one, {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()})
 
 
+def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per row: doc_id, n_tokens, ids (packed); a text that doesn't decode to itself fails the job."""
+    if path is None or pattern is None:
+        known = default_tokenizer()
+        path, pattern = path or known[0], pattern or known[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path, pattern)
+        for batch in batches:
+            for at in range(0, batch.num_rows, RUN_ROWS):
+                part = batch.slice(at, RUN_ROWS)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                packed = e.encode_all(texts)
+                for t, ids in zip(texts, packed, strict=True):
+                    if e.decode(ids) != t.encode("utf-8", "surrogatepass"):
+                        raise ValueError("a text does not survive encoding and decoding")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // 4 for i in packed], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "ids"])
+
+    source = docs.select(F.col(key).alias("doc_id"), F.col(text))
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
+
+
 def _each(docs: DataFrame, path, pattern, text, key, one, fields: dict) -> DataFrame:
     if path is None or pattern is None:
         known = default_tokenizer()

@@ -39,14 +39,16 @@ SEGMENTS = ((0, 32), (32, 64))
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The 64-bit fingerprint as a signed number."""
+def fingerprint(text: str | None, words: int = 3, distinct: bool = False) -> int:
+    """The 64-bit fingerprint as a signed number; distinct: each shingle once."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(_TO_LOWER).split()
     if not tokens:
         return 0
+    if distinct and words == 1:
+        tokens = list(dict.fromkeys(tokens))
     if len(tokens) <= words:
         values = np.array([digest(b" ".join(tokens), SEED)], dtype=np.uint64)
     else:
@@ -64,12 +66,12 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 3, distinct: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, fp long) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), words) for t in batch.column(1)]
+            found = [fingerprint(t.as_py(), words, distinct) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
     source = docs.select(F.col(key).alias("doc_id"), F.col(text))
@@ -113,20 +115,31 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         seen = sign
 
 
-def near_components(docs: DataFrame, words: int = 3, distance: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_components(docs: DataFrame, words: int = 3, distance: int = 2, distinct: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id) per row; distance is 2 at most."""
     if not 0 <= distance <= 2:
         raise ValueError("balls of radius one reach a distance of two")
     scratch = Scratch(docs.sparkSession, "simhash")
-    marked, _ = scratch.save(fingerprints(docs, words, text, key))
-    distinct, _ = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct, distance), scratch)
-    rooted = distinct.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    marked, _ = scratch.save(fingerprints(docs, words, distinct, text, key))
+    unique, _ = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(links(unique, distance), scratch)
+    rooted = unique.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
+    """docs with one document of each component, that of the smallest doc_id.
+
+    Rows that repeat the id that stays are one document: one of them stays.
+    """
+    found = near_components(docs, **options)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_sh_id")).distinct()
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_sh_id"])).drop("_sh_id")
+    return kept.dropDuplicates(["doc_id"])
+
+
 def report(docs: DataFrame) -> DataFrame:
     found = near_components(docs)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
