@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import LOWER, UPPER, Scratch
 
-BLOCK_CHARS = 8_000_000
-BUCKET_TOKENS = 2_000_000
+BLOCK_CHARS = 5_000_000
+BUCKET_TOKENS = 1_000_000
 MIN_COUNT = 2
 HELD_OUT, HELD_OUT_IS = 7, 2
 #: Counts of counts up to here fit the Good-Turing line.
@@ -80,13 +80,14 @@ class Block:
         parts, lengths = [], []
         for t in texts:
             words = (t or "").encode("utf-8", "surrogatepass").translate(_TO_LOWER).split()
-            parts.append(np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words)))
-            parts.append(np.array([end], dtype=np.int64))
+            parts.append(np.fromiter(map(ids.__getitem__, words), dtype=np.int32, count=len(words)))
+            parts.append(np.array([end], dtype=np.int32))
             lengths.append(len(words) + 1)
-        raw = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        raw = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        del parts
         keys = np.fromiter(map(key_of, ids), dtype=np.uint64, count=len(ids))
         order = np.argsort(keys)
-        place = np.empty(len(ids), dtype=np.int64)
+        place = np.empty(len(ids), dtype=np.int32)
         place[order] = np.arange(len(ids))
         self.keys = keys[order]
         self.word = place[raw]
@@ -97,13 +98,14 @@ class Block:
         if len(before):
             before[1:] = self.word[:-1]
             before[self.starts] = start
-        codes, pair = np.unique(before * (start + 1) + self.word, return_inverse=True)
+        codes, pair = np.unique(before.astype(np.int64) * (start + 1) + self.word, return_inverse=True)
+        del raw, before
         history, second = codes // (start + 1), codes % (start + 1)
         all_keys = np.append(self.keys, np.uint64(key_of(_START)))
         made = pair_keys(all_keys[history], all_keys[second])
         order = np.argsort(made)
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         self.pair_keys, self.history, self.second, self.pair = made[order], history[order], second[order], place[pair.ravel()]
         self.history_keys = all_keys
         of_token = np.repeat(np.asarray(train, dtype=float), self.lengths)
@@ -143,6 +145,7 @@ def unpack(data) -> pa.Table:
 
 
 def block_of(data) -> tuple[pa.Table, Block]:
+    pa.default_memory_pool().release_unused()
     table = unpack(data)
     return table, Block(table.column("text").to_pylist(), np.array(table.column("train").to_pylist(), dtype=bool))
 
