@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from corpusloom.plans import search_plans, text_plans
+
+_PLANS = (text_plans, search_plans)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _p in _PLANS:
+    QUERIES.update(_p.QUERIES)
+    ORACLE_SQL.update(_p.ORACLE_SQL)
