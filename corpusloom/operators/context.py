@@ -99,7 +99,8 @@ def select_with_focus(ranked: DataFrame, spans: DataFrame, budget: int, by: str
         return pd.DataFrame(out, columns=[by, "path", "position", "start_line", "end_line", "tokens", "selected", "reason"])
 
     kind = ranked.schema[by].dataType.simpleString()
-    return ranked.select(by, "path", "position", "tokens").groupBy(by).cogroup(spans.groupBy(by)).applyInPandas(
+    fresh = spans.select(*[F.col(c).alias(c) for c in spans.columns])  # spans may derive from ranked
+    return ranked.select(by, "path", "position", "tokens").groupBy(by).cogroup(fresh.groupBy(by)).applyInPandas(
         run, f"{by} {kind}, path string, position int, start_line int, end_line int, tokens bigint, selected boolean, reason string")
 
 
