@@ -94,7 +94,7 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(u, v): each linked node with the smallest node of its component."""
+    """(u, v), u > v: each linked node with the smallest node of its component."""
     now, at = scratch.save(edges)
     seen = None
     while True:
@@ -129,15 +129,129 @@ def near_components(docs: DataFrame, words: int = 3, distance: int = 2, distinct
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+# Near-duplicates by similarity: a wide fingerprint proposes, shingles decide.
+
+WIDE_SEGMENTS = 8  # of 32 bits each
+WIDE_DISTANCE = 48  # of 256 bits; unrelated texts lie around 100
+BROADCAST_IDS = 1_000_000
+
+
+def wide_fingerprint(tokens: list[bytes]) -> np.ndarray:
+    """Eight 32-bit segments over the distinct words."""
+    import xxhash
+
+    words = list(dict.fromkeys(tokens))
+    if not words:
+        return np.zeros(WIDE_SEGMENTS, dtype=np.uint32)
+    raw = b"".join(xxhash.xxh3_128_digest(w, s) for w in words for s in (1, 2))
+    ones = np.zeros(32 * WIDE_SEGMENTS, dtype=np.int64)
+    rows = np.frombuffer(raw, np.uint8).reshape(len(words), -1)
+    for at in range(0, len(rows), 65536):
+        ones += np.unpackbits(rows[at:at + 65536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(words), bitorder="little").view("<u4")
+
+
+def shingle_hashes(tokens: list[bytes], words: int) -> list[int]:
+    """Distinct hashes of the shingles; all words are one if there are fewer."""
+    import xxhash
+
+    parts = [b" ".join(tokens[i:i + words]) for i in range(max(1, len(tokens) - words + 1))]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), dtype=np.uint64)).view(np.int64).tolist()
+
+
+def _tokens(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_TO_LOWER).split()
+
+
+def wide_fingerprints(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(doc_id, segments): eight 32-bit numbers as longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(_tokens(t.as_py())).astype(np.int64).tolist() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "segments"])
+
+    source = docs.select(F.col(key).alias("doc_id"), F.col(text))
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, segments array<bigint>")
+
+
+def candidates(marked: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """(a, b, d) with a < b: fingerprints that meet in a segment and are near as a whole.
+
+    Each segment is entered under the 33 values of its one-bit ball, so documents meet
+    if any segment differs by two bits or less. At a key, in an order hashed anew for
+    each, a document is compared with the first and with the one before it: two
+    comparisons a row however many share the key, and others at other keys.
+    """
+    unique = marked.groupBy("segments").agg(F.min("doc_id").alias("doc_id"))
+    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << b) for b in range(32)])
+    keys = F.flatten(F.transform("segments", lambda v, s: F.transform(masks, lambda m: v.bitwiseXOR(m).bitwiseOR(F.shiftleft(s.cast("long"), 32)))))
+    table = unique.select(F.explode(keys).alias("at"), "doc_id")
+    order = Window.partitionBy("at").orderBy(F.xxhash64("at", "doc_id"))
+    met = table.select("doc_id", F.first("doc_id").over(order).alias("f"), F.lag("doc_id").over(order).alias("l")).where("l is not null")
+    pairs = met.select(F.explode(F.array_distinct(F.array("f", "l"))).alias("o"), "doc_id").select(F.least("o", "doc_id").alias("a"), F.greatest("o", "doc_id").alias("b")).distinct()
+    one = unique.select(F.col("doc_id").alias("a"), F.col("segments").alias("x"))
+    two = unique.select(F.col("doc_id").alias("b"), F.col("segments").alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, n: s + n)
+    near = pairs.join(one, "a").join(two, "b").select("a", "b", apart.alias("d")).where(F.col("d") <= distance)
+    first = unique.select("segments", F.col("doc_id").alias("a"))
+    same = marked.join(first, "segments").where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(0).alias("d"))
+    return near.unionByName(same)
+
+
+def similar_pairs(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose shingle sets have the Jaccard similarity."""
+    one = shingles.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+    two = shingles.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    jaccard = both / (F.size("x") + F.size("y") - both)
+    return pairs.join(one, "a").join(two, "b").where(jaccard >= similarity).select("a", "b")
+
+
+def similar_components(docs: DataFrame, similarity: float = 0.8, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, component_id) of documents whose component has a smaller doc_id.
+
+    Pairs of five-word-shingle similarity 0.8 or more are linked. Candidates come from
+    the wide fingerprints; each document's nearest is decided first, and of the others
+    only pairs that still lie in different components.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    marked, _ = scratch.save(wide_fingerprints(docs.where(F.col(key).isNotNull()), text, key))
+    found, _ = scratch.save(candidates(marked))
+    ends = found.select("a", "b", "d").union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    involved = ends.select(F.col("a").alias("_sh_id")).distinct()
+    few = involved.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(involved) if few else involved, docs[key] == involved["_sh_id"]).select(F.col("_sh_id").alias("doc_id"), F.col(text).alias("text"))
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(_tokens(t.as_py()), words) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    shingles, _ = scratch.save(texts.mapInArrow(run, f"doc_id {kind}, shingles array<bigint>").dropDuplicates(["doc_id"]))
+    nearest = ends.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
+    linked, _ = scratch.save(similar_pairs(nearest, shingles, similarity))
+    root = components(linked.select(F.col("b").alias("u"), F.col("a").alias("v")), scratch)
+    ra, rb = root.select(F.col("u").alias("a"), F.col("v").alias("ra")), root.select(F.col("u").alias("b"), F.col("v").alias("rb"))
+    open_pairs = found.join(ra, "a", "left").join(rb, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+    more, _ = scratch.save(similar_pairs(open_pairs.join(nearest, ["a", "b"], "left_anti"), shingles, similarity))
+    every = root.unionByName(more.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    done = components(every, scratch)
+    return done.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id"))
+
+
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each component, that of the smallest doc_id.
 
-    Rows that repeat the id that stays are one document: one of them stays.
+    Rows that repeat an id are one document: one of them stays. Rows without an id
+    have no identity and stay.
     """
-    found = near_components(docs, **options)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_sh_id")).distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_sh_id"])).drop("_sh_id")
-    return kept.dropDuplicates(["doc_id"])
+    found = similar_components(docs, **options)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_sh_id"))
+    named = docs.where("doc_id is not null")
+    kept = named.join(gone, named["doc_id"] == gone["_sh_id"], "left_anti")
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
 def report(docs: DataFrame) -> DataFrame:

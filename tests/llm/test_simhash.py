@@ -79,3 +79,38 @@ def test_query_and_edge_rows(spark, tiny_dir):
     got = sorted(tuple(r) for r in simhash.report(df.selectExpr("*", "1 AS fp", "2 AS component_id")).collect())
     assert got == want
     assert simhash.report(df.limit(0)).count() == 0
+
+
+def test_similar_documents(spark):
+    """Near copies of each original are found and nothing else is touched."""
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows, groups = [], {}
+    for g in range(25):
+        base = rng.choices(vocab, k=rng.choice([60, 200, 1200]))
+        for _ in range(rng.randint(1, 8)):
+            words = list(base)
+            for _ in range(max(1, len(words) // 120)):
+                words[rng.randrange(len(words))] = rng.choice(vocab)
+            groups[len(rows)] = g
+            rows.append((len(rows), " ".join(words)))
+    sets = [set(simhash.shingle_hashes(simhash._tokens(t), 5)) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS segments", "2 AS d")
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(df).collect()}
+    assert got == {i: r for i, r in enumerate(root) if r != i}
+    kept = simhash.drop_near_copies(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+
+
+def test_similar_edge_rows(spark):
+    rows = [(1, None), (2, ""), (3, "one"), (4, "ONE"), (5, "two words"), (5, "two words"), (None, "two words"), (None, "x"), (6, "z " * 20000), (7, "Z\t" * 20000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id for r in simhash.drop_near_copies(df).collect()), key=str)
+    assert got == [1, 3, 5, 6, None, None]
+    assert simhash.drop_near_copies(df.limit(0)).count() == 0
