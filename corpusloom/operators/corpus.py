@@ -94,7 +94,8 @@ class Corpus:
         return found[0].file if found else None
 
     def module_of(self, path: str) -> str:
-        return self.spark.range(1).select(P.module_name(F.lit(path))).first()[0]
+        parts = path.removesuffix(".py").split("/")
+        return ".".join(parts[:-1] if parts[-1] == "__init__" else parts)
 
     def resolve(self, target: str) -> Target:
         """path::symbol, path, dotted module, unique symbol, unique leaf name."""
