@@ -58,21 +58,28 @@ def sequence(docs: DataFrame, text: str, key: str) -> DataFrame:
     return lines.sortWithinPartitions("doc_id", "tkey", "ln").withColumn("p", F.monotonically_increasing_id())
 
 
-def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(p, r): r the smallest position with the same keys; singletons leave."""
+def _named(rows: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
+    """(p, r): r the smallest position with the same keys; singletons leave.
+
+    The groups are written first: a join of two plain tables is one that adaptive
+    execution can split where a key is hot.
+    """
     groups = rows.groupBy(*keys).agg(F.min("p").alias("_r"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    groups, _ = scratch.save(groups)
     return rows.join(groups, keys).select("p", F.col("_r").alias("r"))
 
 
 def suffix_levels(lines: DataFrame, scratch: Scratch) -> list[DataFrame]:
     """Level k: (p, r) of the suffixes that share their next 2^k lines."""
-    now, _ = scratch.save(_named(lines.where("id is not null").select("p", "id"), ["id"]))
+    now, _ = scratch.save(_named(lines.where("id is not null").select("p", "id"), ["id"], scratch))
     levels = []
     while not now.isEmpty():
         levels.append(now)
         step = 1 << (len(levels) - 1)
         ahead = now.select((F.col("p") - step).alias("p"), F.col("r").alias("r2"))
-        now, _ = scratch.save(_named(now.join(ahead, "p"), ["r", "r2"]))
+        pairs, at = scratch.save(now.join(ahead, "p"))
+        now, _ = scratch.save(_named(pairs, ["r", "r2"], scratch))
+        scratch.drop(at)
     return levels
 
 
