@@ -70,6 +70,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     best = copies.groupBy("level", "gid").agg(
         F.max(F.struct(F.col("n_chars"), (-F.col("doc_id")).alias("back"))).alias("best"), F.count("*").alias("group_size")
     ).select("level", "gid", "group_size", (-F.col("best.back")).alias("keep_id"))
+    best, _ = scratch.save(best)  # a plain table: its join can be split where a group is hot
     joined = copies.join(best, ["level", "gid"])
     alone = found.where("gid is null").withColumns({"group_size": F.lit(1).cast("long"), "keep_id": F.col("doc_id")})
     columns = ["doc_id", "keep_id", "group_size", "text_sha256", "n_chars"]
