@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, UPPER, Scratch
+from corpusloom.llm.common import LOWER, UPPER, Scratch, small_batches
 
 SEED = 42
 SEGMENTS = ((0, 32), (32, 64))
@@ -151,12 +151,18 @@ def wide_fingerprint(tokens: list[bytes]) -> np.ndarray:
     return np.packbits(2 * ones > len(words), bitorder="little").view("<u4")
 
 
-def shingle_hashes(tokens: list[bytes], words: int) -> list[int]:
+def shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
     """Distinct hashes of the shingles; all words are one if there are fewer."""
     import xxhash
 
     parts = [b" ".join(tokens[i:i + words]) for i in range(max(1, len(tokens) - words + 1))]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), dtype=np.uint64)).view(np.int64).tolist()
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), dtype=np.uint64)).view(np.int64)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    """An Arrow array of whole numbers per row, without Python numbers between."""
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)))
 
 
 def _tokens(text: str | None) -> list[bytes]:
@@ -168,8 +174,8 @@ def wide_fingerprints(docs: DataFrame, text: str, key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_fingerprint(_tokens(t.as_py())).astype(np.int64).tolist() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "segments"])
+            found = _lists([wide_fingerprint(_tokens(t.as_py())) for t in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["doc_id", "segments"])
 
     source = docs.select(F.col(key).alias("doc_id"), F.col(text))
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, segments array<bigint>")
@@ -180,16 +186,17 @@ def candidates(marked: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
 
     Each segment is entered under the 33 values of its one-bit ball, so documents meet
     if any segment differs by two bits or less. At a key, in an order hashed anew for
-    each, a document is compared with the first and with the one before it: two
-    comparisons a row however many share the key, and others at other keys.
+    each segment, a document is compared with the first and, at the key of its own
+    value, with the one before it: two comparisons a row at most however many share
+    the key, with others in other segments.
     """
     unique = marked.groupBy("segments").agg(F.min("doc_id").alias("doc_id"))
     masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << b) for b in range(32)])
     keys = F.flatten(F.transform("segments", lambda v, s: F.transform(masks, lambda m: v.bitwiseXOR(m).bitwiseOR(F.shiftleft(s.cast("long"), 32)))))
-    table = unique.select(F.explode(keys).alias("at"), "doc_id")
-    order = Window.partitionBy("at").orderBy(F.xxhash64("at", "doc_id"))
-    met = table.select("doc_id", F.first("doc_id").over(order).alias("f"), F.lag("doc_id").over(order).alias("l")).where("l is not null")
-    pairs = met.select(F.explode(F.array_distinct(F.array("f", "l"))).alias("o"), "doc_id").select(F.least("o", "doc_id").alias("a"), F.greatest("o", "doc_id").alias("b")).distinct()
+    table = unique.select(F.posexplode(keys).alias("own", "at"), "doc_id").withColumn("own", F.col("own") % 33 == 0)
+    order = Window.partitionBy("at").orderBy(F.xxhash64(F.shiftright("at", 32), "doc_id"), "doc_id")
+    met = table.select("doc_id", F.first("doc_id").over(order).alias("f"), F.lag("doc_id").over(order).alias("l"), "own").where("l is not null")
+    pairs = met.select(F.explode(F.when(F.col("own"), F.array_distinct(F.array("f", "l"))).otherwise(F.array("f"))).alias("o"), "doc_id").select(F.least("o", "doc_id").alias("a"), F.greatest("o", "doc_id").alias("b")).distinct()
     one = unique.select(F.col("doc_id").alias("a"), F.col("segments").alias("x"))
     two = unique.select(F.col("doc_id").alias("b"), F.col("segments").alias("y"))
     apart = F.aggregate(F.zip_with("x", "y", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, n: s + n)
@@ -215,6 +222,7 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     the wide fingerprints; each document's nearest is decided first, and of the others
     only pairs that still lie in different components.
     """
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "similar")
     marked, _ = scratch.save(wide_fingerprints(docs.where(F.col(key).isNotNull()), text, key))
     found, _ = scratch.save(candidates(marked))
@@ -226,8 +234,10 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, words: int = 5,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(_tokens(t.as_py()), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sets = _lists([shingle_hashes(_tokens(t.as_py()), words) for t in part.column(1)])
+                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["doc_id", "shingles"])
 
     shingles, _ = scratch.save(texts.mapInArrow(run, f"doc_id {kind}, shingles array<bigint>").dropDuplicates(["doc_id"]))
     nearest = ends.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()

@@ -20,7 +20,7 @@ def test_stages_by_steps(spark, tiny_dir):
             assert (after.n_chars == after.text.str.len()).all()
             assert len(after) <= len(before)
         if name == "simhash":
-            sets = {d: set(simhash.shingle_hashes(simhash._tokens(t), 5)) for d, t in zip(before.doc_id, before.text, strict=True)}
+            sets = {d: set(simhash.shingle_hashes(simhash._tokens(t), 5).tolist()) for d, t in zip(before.doc_id, before.text, strict=True)}
             near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
             left, ids = set(after.doc_id), sorted(sets)
             pairs = [(a, b) for i, b in enumerate(ids) for a in ids[:i] if near(a, b)]

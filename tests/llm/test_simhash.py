@@ -94,7 +94,7 @@ def test_similar_documents(spark):
                 words[rng.randrange(len(words))] = rng.choice(vocab)
             groups[len(rows)] = g
             rows.append((len(rows), " ".join(words)))
-    sets = [set(simhash.shingle_hashes(simhash._tokens(t), 5)) for _, t in rows]
+    sets = [set(simhash.shingle_hashes(simhash._tokens(t), 5).tolist()) for _, t in rows]
     root = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
