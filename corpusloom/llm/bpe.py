@@ -30,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 500_000  # in each of two generations
+from corpusloom.llm.common import small_batches
+
+CACHE_ENTRIES = 300_000  # in each of two generations
 CACHED_CHARS = 64
-RUN_CHARS = 1_000_000  # pre-tokens of so much text are encoded in one run
+RUN_CHARS = 500_000  # pre-tokens of so much text are encoded in one run
 RUN_ROWS = 500
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 
@@ -77,15 +79,17 @@ class RankQueue:
 class Encoder(dict):
     """Pre-token to packed ids; as a dict it is the cache of recent ones."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int = CACHE_ENTRIES):
         import regex
 
         super().__init__()
+        self.entries = entries
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
         self.find = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.older: dict[str, bytes] = {}
+        self.of_one = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.of_two = np.full(65536, -1, dtype=np.int64)
         for token, rank in ranks.items():
             if len(token) == 2:
@@ -97,7 +101,7 @@ class Encoder(dict):
 
     def learn(self, pieces: list[str]) -> None:
         """Encode pre-tokens that are not in the cache, all in one queue."""
-        if len(self) + len(pieces) > CACHE_ENTRIES:
+        if len(self) + len(pieces) > self.entries:
             self.older = dict(self)
             self.clear()
         older, ranks, left, raws = self.older.get, self.ranks.get, [], []
@@ -118,7 +122,7 @@ class Encoder(dict):
     def merge(self, raws: list[bytes]) -> list[bytes]:
         """Packed ids of each; the pre-tokens lie side by side in one list."""
         raw = b"".join(raws)
-        n, rank_of, queue, ids = len(raw), self.ranks.get, self.queue, [self.ranks[bytes([b])] for b in raw]
+        n, rank_of, queue = len(raw), self.ranks.get, self.queue
         ends = np.cumsum([len(r) for r in raws])
         starts = [0, *ends[:-1].tolist()]
         first = bytearray(n + 1)  # 1 where a pre-token starts
@@ -126,6 +130,7 @@ class Encoder(dict):
             first[s] = 1
         first[n] = 1
         codes = np.frombuffer(raw, np.uint8).astype(np.int64)
+        ids = self.of_one[codes].tolist()
         ranks = self.of_two[codes[:-1] * 256 + codes[1:]]
         ranks[ends[:-1] - 1] = -1
         pair = [*ranks.tolist(), -1]  # rank of the pair that starts here; -1: none or dead
@@ -211,8 +216,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(load_ranks(path), pattern)
+def encoder(path: str, pattern: str, entries: int = CACHE_ENTRIES) -> Encoder:
+    return Encoder(load_ranks(path), pattern, entries)
 
 
 def default_tokenizer() -> tuple[str, str]:
@@ -235,14 +240,17 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
     return _each(docs, path, pattern, text, key, one, {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()})
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, n_tokens, ids (packed); a text that doesn't decode to itself fails the job."""
+def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", key: str = "doc_id", entries: int = CACHE_ENTRIES) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids (packed); a text that doesn't decode to itself fails the job.
+
+    entries bounds each generation of the workers' caches, which live on after the stage.
+    """
     if path is None or pattern is None:
         known = default_tokenizer()
         path, pattern = path or known[0], pattern or known[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path, pattern)
+        e = encoder(path, pattern, entries)
         for batch in batches:
             for at in range(0, batch.num_rows, RUN_ROWS):
                 part = batch.slice(at, RUN_ROWS)
@@ -253,6 +261,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
                         raise ValueError("a text does not survive encoding and decoding")
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // 4 for i in packed], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("doc_id"), F.col(text))
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
 

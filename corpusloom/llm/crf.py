@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import small_batches
+
 FIT_DOCUMENTS = 3000
 HELD_OUT = 5
 THRESHOLD = 0.3
@@ -199,12 +201,14 @@ def score(docs: DataFrame, model: ChainCRF, text: str = "text", key: str = "doc_
             found = [model.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("doc_id"), F.col(text))
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def keep_good(docs: DataFrame, model: ChainCRF, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """docs whose text scores the threshold or more, with all their columns."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
