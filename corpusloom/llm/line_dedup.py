@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, without_space
+from corpusloom.llm.common import Scratch, small_batches, without_space
 
 MIN_WORDS = 10
 
@@ -58,14 +58,15 @@ def sequence(docs: DataFrame, text: str, key: str) -> DataFrame:
     return lines.sortWithinPartitions("doc_id", "tkey", "ln").withColumn("p", F.monotonically_increasing_id())
 
 
-def _named(rows: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
+def _named(rows: DataFrame, keys: list[str], scratch: Scratch | None = None) -> DataFrame:
     """(p, r): r the smallest position with the same keys; singletons leave.
 
-    The groups are written first: a join of two plain tables is one that adaptive
-    execution can split where a key is hot.
+    With scratch the groups are written first: a join of two plain tables is one that
+    adaptive execution can split where a key is hot.
     """
     groups = rows.groupBy(*keys).agg(F.min("p").alias("_r"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    groups, _ = scratch.save(groups)
+    if scratch is not None:
+        groups, _ = scratch.save(groups)
     return rows.join(groups, keys).select("p", F.col("_r").alias("r"))
 
 
@@ -77,9 +78,7 @@ def suffix_levels(lines: DataFrame, scratch: Scratch) -> list[DataFrame]:
         levels.append(now)
         step = 1 << (len(levels) - 1)
         ahead = now.select((F.col("p") - step).alias("p"), F.col("r").alias("r2"))
-        pairs, at = scratch.save(now.join(ahead, "p"))
-        now, _ = scratch.save(_named(pairs, ["r", "r2"], scratch))
-        scratch.drop(at)
+        now, _ = scratch.save(_named(now.join(ahead, "p"), ["r", "r2"]))
     return levels
 
 
@@ -138,6 +137,7 @@ def cut(text: str | None, runs: list[tuple[int, int]], min_words: int) -> tuple[
 
 def _with_runs(docs: DataFrame, text: str, key: str) -> DataFrame:
     """docs with _ld_runs: the runs of its lines that have an earlier copy."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "line-dedup")
     lines, _ = scratch.save(sequence(docs, text, key))
     found = copied_prefixes(suffix_levels(lines, scratch), scratch)
