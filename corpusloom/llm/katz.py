@@ -15,7 +15,8 @@ Tables. Words and pairs are keyed by 64-bit hashes and dealt to buckets by key,
 frequent word or history never gathers in one task. Texts are packed into blocks of
 about ``BLOCK_CHARS``; a block sends each bucket the distinct keys it holds, with
 their training counts (aggregated before the shuffle), and gets a total for each key
-back in the same order, so keys travel once. In the same way the blocks exchange the
+back in the same order, so keys travel once; a block and a bucket without a key in
+common exchange nothing, so messages are never more than keys. In the same way the blocks exchange the
 sums behind alpha: each kept pair is summed once, by the block that the bucket names
 its owner. Then each block evaluates its texts token by token: pair, else backoff
 weight and word, else unknown. Counts, exchanges and evaluation cover every row and
@@ -126,11 +127,12 @@ def large(data: bytes, n: int) -> np.ndarray:
     return values
 
 
-def dealt(keys: np.ndarray, buckets: int) -> list[np.ndarray]:
-    """Indices of keys per bucket, in order of the keys."""
+def dealt(keys: np.ndarray, buckets: int) -> dict[int, np.ndarray]:
+    """Bucket to the indices of its keys, in order of the keys; only of buckets that get some."""
     at = (keys % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(at, kind="stable")
-    return np.split(order, np.searchsorted(at[order], np.arange(1, buckets)))
+    found, first = np.unique(at[order], return_index=True)
+    return dict(zip(found.tolist(), np.split(order, first[1:]), strict=False))
 
 
 def pack(batch: pa.RecordBatch) -> bytes:
@@ -230,9 +232,11 @@ def _asked(blocks: DataFrame, buckets: int) -> DataFrame:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 b = block_of(data)[1]
                 words, pairs = dealt(b.keys, buckets), dealt(b.pair_keys, buckets)
+                sent, none = sorted(words.keys() | pairs.keys()), np.zeros(0, np.int64)
+                words, pairs = ([x.get(k, none) for k in sent] for x in (words, pairs))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(range(buckets), pa.int32()), pa.array([block] * buckets, pa.int64()),
+                        pa.array(sent, pa.int32()), pa.array([block] * len(sent), pa.int64()),
                         pa.array([b.keys[w].tobytes() for w in words], pa.binary()), pa.array([small(b.word_counts[w]) for w in words], pa.binary()),
                         pa.array([b.pair_keys[p].tobytes() for p in pairs], pa.binary()), pa.array([small(b.pair_counts[p]) for p in pairs], pa.binary()),
                     ],
@@ -303,9 +307,9 @@ def _evaluated(blocks: DataFrame, told: DataFrame, fit: Discounts, buckets: int)
         block = left.column("block")[0].as_py()
         table, b = block_of(left.column("docs")[0])
         words, pairs, owned = np.zeros(len(b.keys), np.int64), np.zeros(len(b.pair_keys), np.int64), np.zeros(len(b.pair_keys), bool)
-        at_word, at_pair = dealt(b.keys, buckets), dealt(b.pair_keys, buckets)
+        at_word, at_pair, none = dealt(b.keys, buckets), dealt(b.pair_keys, buckets), np.zeros(0, np.int64)
         for k, w, p, m in zip(right.column("bucket").to_pylist(), right.column("words"), right.column("pairs"), right.column("owned"), strict=True):
-            i, j = at_word[k], at_pair[k]
+            i, j = at_word.get(k, none), at_pair.get(k, none)
             words[i], pairs[j] = large(w.as_py(), len(i)), large(p.as_py(), len(j))
             owned[j] = np.unpackbits(np.frombuffer(m.as_buffer(), np.uint8), count=len(j)).astype(bool)
         p_word = np.where(words > 0, fit.word_share(words), fit.unknown)
@@ -337,10 +341,10 @@ def _evaluated(blocks: DataFrame, told: DataFrame, fit: Discounts, buckets: int)
         keys = b.history_keys[sent]
         parts = dealt(keys, buckets)
         rows = {
-            "block": [block] * (buckets + 1), "bucket": [*range(buckets), -1],
-            "keys": [keys[i].tobytes() for i in parts] + [keys.tobytes()],
-            "sums": [summed[sent[i]].astype("<f8").tobytes() if summed[sent[i]].any() else b"" for i in parts] + [wanted.tobytes()],
-            "rest": [b""] * buckets + [pack(rest)],
+            "block": [block] * (len(parts) + 1), "bucket": [*parts, -1],
+            "keys": [keys[i].tobytes() for i in parts.values()] + [keys.tobytes()],
+            "sums": [summed[sent[i]].astype("<f8").tobytes() if summed[sent[i]].any() else b"" for i in parts.values()] + [wanted.tobytes()],
+            "rest": [b""] * len(parts) + [pack(rest)],
         }
         return pa.table(rows, schema=schema)
 
@@ -378,7 +382,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", block_chars:
     parts, _ = scratch.save(_evaluated(blocks, told, fit, buckets))
     scratch.drop(blocks_at)
     scratch.drop(told_at)
-    alphas = _alphas(parts.where((F.col("bucket") >= 0) & (F.octet_length("keys") > 0)))
+    alphas = _alphas(parts.where("bucket >= 0"))
     tokens = fit.tokens
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
