@@ -49,7 +49,8 @@ def file_postings(files: DataFrame, layers: dict[str, Column], only: list[str] |
         return F.transform(found(c), lambda t: F.struct(F.lit(name).alias("layer"), t.alias("term")))
 
     pairs = F.flatten(F.array(*[tagged(name, c) for name, c in layers.items()]))
-    return files.select("path", F.explode(pairs).alias("x")).select("path", "x.layer", "x.term")
+    # outer, as the filters that Spark infers for a plain explode would tokenise three times
+    return files.select("path", F.explode_outer(pairs).alias("x")).where("x is not null").select("path", "x.layer", "x.term")
 
 
 def symbol_postings(symbols: DataFrame) -> DataFrame:
