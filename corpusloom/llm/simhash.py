@@ -25,6 +25,7 @@ taken whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,28 +130,15 @@ def near_components(docs: DataFrame, words: int = 3, distance: int = 2, distinct
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-# Near-duplicates by similarity: a wide fingerprint proposes, shingles decide.
+# Near-duplicates by similarity: prefixes of the shingle sets propose, the sets decide.
 
-WIDE_SEGMENTS = 8  # of 32 bits each
-WIDE_DISTANCE = 48  # of 256 bits; unrelated texts lie around 100
+FREQUENT = 200_000  # shingles ordered last; which ones are never changes the result
+FREQUENT_SAMPLE, FREQUENT_LEAST = 16, 3
+STAR_ROUNDS = 4
+STAR_SHARE = 0.25  # of the shorter prefix, for a comparison ahead of the last round
 BROADCAST_IDS = 1_000_000
 
 
-def wide_fingerprint(tokens: list[bytes]) -> np.ndarray:
-    """Eight 32-bit segments over the distinct words."""
-    import xxhash
-
-    words = list(dict.fromkeys(tokens))
-    if not words:
-        return np.zeros(WIDE_SEGMENTS, dtype=np.uint32)
-    raw = b"".join(xxhash.xxh3_128_digest(w, s) for w in words for s in (1, 2))
-    ones = np.zeros(32 * WIDE_SEGMENTS, dtype=np.int64)
-    rows = np.frombuffer(raw, np.uint8).reshape(len(words), -1)
-    for at in range(0, len(rows), 65536):
-        ones += np.unpackbits(rows[at:at + 65536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(words), bitorder="little").view("<u4")
-
-
 def shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
     """Distinct hashes of the shingles; all words are one if there are fewer."""
     import xxhash
@@ -169,41 +157,61 @@ def _tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TO_LOWER).split()
 
 
-def wide_fingerprints(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(doc_id, segments): eight 32-bit numbers as longs."""
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, shingles) of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _lists([wide_fingerprint(_tokens(t.as_py())) for t in batch.column(1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["doc_id", "segments"])
+            sets = _lists([shingle_hashes(_tokens(t.as_py()), words) for t in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["doc_id", "shingles"])
 
-    source = docs.select(F.col(key).alias("doc_id"), F.col(text))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, segments array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, shingles array<bigint>")
+
+
+def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that one document in sixteen shows to be common, sorted, with their counts."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(FREQUENT_SAMPLE)) == 0)
+    counts = shingle_sets(some, words).select(F.explode("shingles").alias("at")).groupBy("at").count()
+    found = counts.where(F.col("count") >= FREQUENT_LEAST).orderBy(F.desc("count"), "at").limit(FREQUENT).toArrow()
+    at, n = (found.column(c).to_numpy() for c in ("at", "count"))
+    order = np.argsort(at)
+    return at[order], n[order]
 
 
-def candidates(marked: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """(a, b, d) with a < b: fingerprints that meet in a segment and are near as a whole.
+def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first n - ceil(similarity n) + 1 shingles, common ones ordered last.
 
-    Each segment is entered under the 33 values of its one-bit ball, so documents meet
-    if any segment differs by two bits or less. At a key, in an order hashed anew for
-    each segment, a document is compared with the first and, at the key of its own
-    value, with the one before it: two comparisons a row at most however many share
-    the key, with others in other segments.
+    The order is the same for all documents, so two sets of the similarity share one.
     """
-    unique = marked.groupBy("segments").agg(F.min("doc_id").alias("doc_id"))
-    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << b) for b in range(32)])
-    keys = F.flatten(F.transform("segments", lambda v, s: F.transform(masks, lambda m: v.bitwiseXOR(m).bitwiseOR(F.shiftleft(s.cast("long"), 32)))))
-    table = unique.select(F.posexplode(keys).alias("own", "at"), "doc_id").withColumn("own", F.col("own") % 33 == 0)
-    order = Window.partitionBy("at").orderBy(F.xxhash64(F.shiftright("at", 32), "doc_id"), "doc_id")
-    met = table.select("doc_id", F.first("doc_id").over(order).alias("f"), F.lag("doc_id").over(order).alias("l"), "own").where("l is not null")
-    pairs = met.select(F.explode(F.when(F.col("own"), F.array_distinct(F.array("f", "l"))).otherwise(F.array("f"))).alias("o"), "doc_id").select(F.least("o", "doc_id").alias("a"), F.greatest("o", "doc_id").alias("b")).distinct()
-    one = unique.select(F.col("doc_id").alias("a"), F.col("segments").alias("x"))
-    two = unique.select(F.col("doc_id").alias("b"), F.col("segments").alias("y"))
-    apart = F.aggregate(F.zip_with("x", "y", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, n: s + n)
-    near = pairs.join(one, "a").join(two, "b").select("a", "b", apart.alias("d")).where(F.col("d") <= distance)
-    first = unique.select("segments", F.col("doc_id").alias("a"))
-    same = marked.join(first, "segments").where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(0).alias("d"))
-    return near.unionByName(same)
+    n = len(shingles)
+    length = n - math.ceil(similarity * n - 1e-9) + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        rank = np.where(common[at] == shingles, counts[at], 0)
+    else:
+        rank = np.zeros(n, np.int64)
+    return shingles[np.lexsort((shingles, rank))[:length]]
+
+
+def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, sig, n, prefix): sig tells sets apart by 128 bits, n is a set's size."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        common, counts = shared.value
+        for batch in batches:
+            sets = [shingle_hashes(_tokens(t.as_py()), words) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int32()), _lists([prefix(s, common, counts, similarity) for s in sets]),
+                ],
+                ["doc_id", "sig", "n", "prefix"],
+            )
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sig binary, n int, prefix array<bigint>")
 
 
 def similar_pairs(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
@@ -212,42 +220,84 @@ def similar_pairs(pairs: DataFrame, shingles: DataFrame, similarity: float) -> D
     two = shingles.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     jaccard = both / (F.size("x") + F.size("y") - both)
-    return pairs.join(one, "a").join(two, "b").where(jaccard >= similarity).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(jaccard >= similarity).select("a", "b").distinct()
+
+
+def _in_components(table: DataFrame, root: DataFrame) -> DataFrame:
+    """The rows of table with their component c, at keys where several meet."""
+    named = table.join(root.select(F.col("u").alias("doc_id"), "v"), "doc_id", "left").withColumn("c", F.coalesce("v", "doc_id")).drop("v")
+    mixed = named.groupBy("at").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi").select("at")
+    return named.join(mixed, "at", "left_semi")
+
+
+def star_pairs(rows: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """(a, b): each document with that first document of its keys that is met most often."""
+    order = F.xxhash64(F.lit(turn), "doc_id")
+    first = rows.groupBy("at").agg(F.min(F.struct(order.alias("h"), F.col("doc_id").alias("f"), F.col("c").alias("fc"), F.col("n").alias("fn"), F.col("p").alias("fp"))).alias("x")).select("at", "x.f", "x.fc", "x.fn", "x.fp")
+    met = rows.join(first, "at").where("c <> fc").where(F.least("n", "fn") >= similarity * F.greatest("n", "fn") - 1e-9)
+    often = met.groupBy("doc_id", "f", "p", "fp").count().where(F.col("count") >= STAR_SHARE * F.least("p", "fp"))
+    best = often.groupBy("doc_id").agg(F.max(F.struct("count", "f")).alias("x"))
+    return best.select(F.least("doc_id", "x.f").alias("a"), F.greatest("doc_id", "x.f").alias("b")).distinct()
+
+
+def open_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of all pairs of different components that can have the similarity.
+
+    Of sets with an overlap of o, at least o - n + len(prefix) common shingles lie in both
+    prefixes, by the set whose prefix ends first; pairs that share fewer are left out.
+    """
+    one = rows.select("at", F.col("doc_id").alias("a"), F.col("n").alias("x"), F.col("p").alias("p"), F.col("c").alias("k"))
+    two = rows.select("at", F.col("doc_id").alias("b"), F.col("n").alias("y"), F.col("p").alias("q"), F.col("c").alias("l"))
+    fits = F.least("x", "y") >= similarity * F.greatest("x", "y") - 1e-9
+    met = one.join(two, "at").where((F.col("a") < F.col("b")) & (F.col("k") != F.col("l")) & fits)
+    least = F.ceil(similarity / (1 + similarity) * (F.col("x") + F.col("y")) - 1e-9)
+    shared = F.least(least - F.col("x") + F.col("p"), least - F.col("y") + F.col("q"))
+    return met.groupBy("a", "b", "x", "y", "p", "q").count().where(F.col("count") >= shared).select("a", "b").distinct()
 
 
 def similar_components(docs: DataFrame, similarity: float = 0.8, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, component_id) of documents whose component has a smaller doc_id.
 
-    Pairs of five-word-shingle similarity 0.8 or more are linked. Candidates come from
-    the wide fingerprints; each document's nearest is decided first, and of the others
-    only pairs that still lie in different components.
+    Pairs of five-word-shingle similarity 0.8 or more are linked. Equal sets are collapsed.
+    Other such pairs share a shingle of their prefixes. Star rounds first compare each
+    document with one that shares its keys, which joins large groups with few comparisons;
+    then every pair that shares a key and still lies in different components is decided,
+    so none is missed.
     """
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "similar")
-    marked, _ = scratch.save(wide_fingerprints(docs.where(F.col(key).isNotNull()), text, key))
-    found, _ = scratch.save(candidates(marked))
-    ends = found.select("a", "b", "d").union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    involved = ends.select(F.col("a").alias("_sh_id")).distinct()
-    few = involved.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(involved) if few else involved, docs[key] == involved["_sh_id"]).select(F.col("_sh_id").alias("doc_id"), F.col(text).alias("text"))
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                sets = _lists([shingle_hashes(_tokens(t.as_py()), words) for t in part.column(1)])
-                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["doc_id", "shingles"])
-
-    shingles, _ = scratch.save(texts.mapInArrow(run, f"doc_id {kind}, shingles array<bigint>").dropDuplicates(["doc_id"]))
-    nearest = ends.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
-    linked, _ = scratch.save(similar_pairs(nearest, shingles, similarity))
-    root = components(linked.select(F.col("b").alias("u"), F.col("a").alias("v")), scratch)
-    ra, rb = root.select(F.col("u").alias("a"), F.col("v").alias("ra")), root.select(F.col("u").alias("b"), F.col("v").alias("rb"))
-    open_pairs = found.join(ra, "a", "left").join(rb, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-    more, _ = scratch.save(similar_pairs(open_pairs.join(nearest, ["a", "b"], "left_anti"), shingles, similarity))
-    every = root.unionByName(more.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    done = components(every, scratch)
+    source = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    marked, marked_at = scratch.save(prefixes(source, words, similarity))
+    firsts, _ = scratch.save(marked.groupBy("sig").agg(F.min("doc_id").alias("a")))
+    same = marked.join(firsts, "sig").where("doc_id <> a").select(F.col("doc_id").alias("u"), F.col("a").alias("v")).distinct()
+    kept = marked.join(firsts, "sig").where("doc_id = a")
+    table = kept.select("doc_id", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("at"))
+    several = table.groupBy("at").count().where("count > 1").select("at")
+    table, _ = scratch.save(table.join(several, "at", "left_semi").distinct())
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        """(u, v) of the similar ones of pairs; only their texts are read."""
+        pairs, pairs_at = scratch.save(pairs)
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("_sh_id")).distinct()
+        few = ids.count() <= BROADCAST_IDS
+        texts = source.join(F.broadcast(ids) if few else ids, source["doc_id"] == ids["_sh_id"]).select("doc_id", "text")
+        shingles, shingles_at = scratch.save(shingle_sets(texts, words).distinct())
+        found, _ = scratch.save(similar_pairs(pairs, shingles, similarity).select(F.col("b").alias("u"), F.col("a").alias("v")))
+        scratch.drop(pairs_at)
+        scratch.drop(shingles_at)
+        return found
+
+    root = components(same, scratch)
+    scratch.drop(marked_at)
+    for turn in range(STAR_ROUNDS):
+        rows, at = scratch.save(_in_components(table, root))
+        more = decided(star_pairs(rows, turn, similarity))
+        scratch.drop(at)
+        if more.isEmpty():
+            break
+        root = components(root.unionByName(more), scratch)
+    rows, _ = scratch.save(_in_components(table, root))
+    done = components(root.unionByName(decided(open_pairs(rows, similarity))), scratch)
     return done.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id"))
 
 

@@ -114,3 +114,54 @@ def test_similar_edge_rows(spark):
     got = sorted((r.doc_id for r in simhash.drop_near_copies(df).collect()), key=str)
     assert got == [1, 3, 5, 6, None, None]
     assert simhash.drop_near_copies(df.limit(0)).count() == 0
+
+
+def brute_similar(rows):
+    sets = [set(simhash.shingle_hashes(simhash._tokens(t), 5).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return {i: r for i, r in enumerate(root) if r != i}
+
+
+def found_similar(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in simhash.similar_components(df).collect()}
+
+
+def test_similar_appended_and_truncated(spark):
+    """Copies with new words added at the end, or cut off, down to the threshold itself."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(60):
+        n = rng.choice([60, 120, 300])
+        base = [f"g{g}w{i}" for i in range(n)]
+        cut = (n - 4) // 5 - rng.choice([0, 0, 1])
+        more = (n - 4) // 4 - rng.choice([0, 0, 1])
+        for words in (base, base[:n - cut], [*base, *(f"g{g}x{i}" for i in range(more))]):
+            rows.append((len(rows), " ".join(words)))
+    want = brute_similar(rows)
+    assert len(want) == 120
+    assert found_similar(spark, rows) == want
+
+
+def test_similar_in_crowded_keys(spark):
+    """Near copies among many variants of one template that are only related."""
+    rng = random.Random(13)
+    template = [f"t{i}" for i in range(200)]
+    rows = []
+    for g in range(300):
+        words = list(template)
+        for i in rng.sample(range(200), 20):
+            words[i] = f"g{g}w{i}"
+        rows.append((len(rows), " ".join(words)))
+        if g % 10 == 0:
+            for i in rng.sample(range(200), 4):
+                words[i] = f"g{g}y{i}"
+            rows.append((len(rows), " ".join(words)))
+    want = brute_similar(rows)
+    assert len(want) >= 20
+    assert found_similar(spark, rows) == want
