@@ -4,7 +4,7 @@ Model. Counts are Good-Turing discounted (the log-linear form of Gale and Sampso
 n_r ~ r^b, so r* = r (1 + 1/r)^(b+1), a discount at every r) and
 
     p(w)     = r*(w) / N, the rest being the mass of any unknown word;
-    p(w | h) = r*(hw) / c(h)       if the pair was seen MIN_COUNT times or more,
+    p(w | h) = r*(hw) / c(h)       if the pair was seen min_count times or more,
                alpha(h) p(w)       else,
 
 with alpha(h) = (1 - sum of p(w|h)) / (1 - sum of p(w)) over the kept pairs of h,
@@ -405,5 +405,5 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", block_chars:
     return parts.where("bucket = -1").groupBy("block").cogroup(alphas.groupBy("block")).applyInArrow(run, schema)
 
 
-def report(docs: DataFrame) -> DataFrame:
-    return score(docs)
+def report(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+    return score(docs, min_count=min_count)

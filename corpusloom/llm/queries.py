@@ -13,7 +13,7 @@ QUERIES = {
     "op5_byte_bpe": lambda spark, d: bpe.report(read(spark, d, "documents")),
     "op6_line_dedup": lambda spark, d: line_dedup.report(read(spark, d, "documents")),
     "op7_url_filters": lambda spark, d: url_filters.report(read(spark, d, "pages")),
-    "op8_lm_scoring": lambda spark, d: katz.report(read(spark, d, "documents")),
+    "op8_lm_scoring": lambda spark, d: katz.report(read(spark, d, "documents"), min_count=1),
     "op9_simhash": lambda spark, d: simhash.report(read(spark, d, "documents")),
     "op10_mixing": lambda spark, d: mixing.mixing_report(read(spark, d, "documents")),
 }

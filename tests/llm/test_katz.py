@@ -104,3 +104,14 @@ def test_packed_counts():
     for v in ([], [0, 1, 254, 255, 256, 2**40], [300] * 5):
         a = np.array(v, dtype=np.int64)
         assert katz.large(katz.small(a), len(a)).tolist() == v
+
+
+def test_query_keeps_pairs_seen_once(spark, tmp_path):
+    from corpusloom.llm.queries import QUERIES
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(30)], k=20))) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    model = Brute(rows, min_count=1)
+    assert 1 in model.kept.values()
+    same([tuple(r) for r in QUERIES["op8_lm_scoring"](spark, str(tmp_path)).collect()], [model.row(*r) for r in rows])
