@@ -86,7 +86,8 @@ def task_coverage(retrieved: DataFrame, surface: DataFrame, cap: int = MAX_CANDI
     """Per query and strategy: precision, recall, F1, recalls by tag, tokens per required file.
 
     retrieved: (strategy, query_id, path, rank, tokens); surface: (query_id, path, tag).
-    The first cap files count; empty surfaces give 0.
+    The first cap files count; empty surfaces, and tasks for which a strategy retrieved nothing,
+    give 0.
     """
     if cap < 1:
         raise ValueError("cap must be positive")
@@ -94,7 +95,10 @@ def task_coverage(retrieved: DataFrame, surface: DataFrame, cap: int = MAX_CANDI
     count = lambda t: F.count_if(F.col("tag") == t)
     got = tag.groupBy("strategy", "query_id").agg(F.count("*").alias("files"), F.sum("tokens").alias("tokens"), *[count(t).alias(t) for t in TAG_ORDER])
     want = tagged(surface.select("query_id", "path").distinct(), surface).groupBy("query_id").agg(*[count(t).alias(f"all_{t}") for t in TAG_ORDER])
-    j = got.join(want, "query_id", "left").fillna(0)
+    names = [r.strategy for r in retrieved.select("strategy").distinct().collect()]  # as many as are configured
+    tasks = want.select("query_id").union(got.select("query_id")).distinct()
+    every = tasks.select("query_id", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")).alias("strategy"))
+    j = every.join(got, ["strategy", "query_id"], "left").join(want, "query_id", "left").fillna(0)
     part = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     p, r = part(F.col("required"), F.col("files")), part(F.col("required"), F.col("all_required"))
     return j.select(

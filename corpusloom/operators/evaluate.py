@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def per_query(retrieved: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
+def per_query(retrieved: DataFrame, relevant: DataFrame, k: int = 5, queries: DataFrame | None = None) -> DataFrame:
     """(query_id, retrieved, relevant, hits, precision, recall, reciprocal_rank).
 
     retrieved: (query_id, path, rank); relevant: (query_id, path). Precision divides
-    by what was retrieved. Every query of relevant gets a row.
+    by what was retrieved. Every query of ``queries`` (query_id) gets a row, else every query
+    that has relevant files; one without any scores 0.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -21,7 +22,9 @@ def per_query(retrieved: DataFrame, relevant: DataFrame, k: int = 5) -> DataFram
         F.count("*").alias("retrieved"), F.count("_hit").alias("hits"), F.min(F.when(F.col("_hit").isNotNull(), F.col("rank"))).alias("first_rank")
     )
     want = truth.groupBy("query_id").agg(F.count("*").alias("relevant"))
-    out = want.join(got, "query_id", "left").fillna(0, ["retrieved", "hits"])
+    if queries is not None:
+        want = queries.select("query_id").distinct().join(want, "query_id", "left")
+    out = want.join(got, "query_id", "left").fillna(0, ["retrieved", "relevant", "hits"])
     part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return out.select(
         "query_id", "retrieved", "relevant", "hits", part("hits", "retrieved").alias("precision"), part("hits", "relevant").alias("recall"),

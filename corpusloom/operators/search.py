@@ -17,6 +17,9 @@ WEIGHTS = {"exact": 100, "symbol": 10, "path": 5, "import": 3, "source": 1}
 DEFAULT_LIMIT = 10
 #: Queries are sent to every task up to so many, and joined by shuffle beyond.
 BROADCAST_QUERIES = 100_000
+#: Up to so many distinct terms a file's terms are intersected with them in the scan; beyond,
+#: postings hold every term and the join alone finds the hits. The hits are the same.
+SCAN_TERMS = 5_000
 
 
 def query_table(spark: SparkSession, queries: dict[str, str] | list[tuple[str, str]]) -> DataFrame:
@@ -62,7 +65,8 @@ def symbol_postings(symbols: DataFrame) -> DataFrame:
 def lexical_hits(files: DataFrame, queries: DataFrame, layers: dict[str, Column], symbols: DataFrame | None = None) -> DataFrame:
     """(query_id, path, term, points): every hit that scores."""
     asked = small(query_terms(queries))
-    only = [r.term for r in asked.select("term").distinct().limit(BROADCAST_QUERIES).collect()] if len(queries.head(1)) else []
+    only = [r.term for r in asked.select("term").distinct().limit(SCAN_TERMS + 1).collect()]
+    only = only if len(only) <= SCAN_TERMS else None
     weight = F.element_at(F.create_map(*[F.lit(x) for k in ("path", "import", "source") for x in (k, WEIGHTS[k])]), F.col("layer"))
     hits = file_postings(files, layers, only).join(asked, "term").select("query_id", "path", "term", weight.cast("long").alias("points"))
     if symbols is None:

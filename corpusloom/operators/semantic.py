@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from corpusloom.functions import vectors as V
 from corpusloom.operators.search import ranked, small
 
 CANDIDATES = 40
+#: Queries of one block: a block is sent to every task, and the top of its scores kept there.
+BLOCK_QUERIES = 10_000
 
 
 def similarities(vectors: DataFrame, queries: DataFrame) -> DataFrame:
@@ -17,20 +21,27 @@ def similarities(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     queries: (query_id, vector), a stated set that is checked to be small enough to
     send to every task.
     """
-    asked = small(queries.select("query_id", F.col("vector").alias("_q")))
+    asked = F.broadcast(queries.select("query_id", F.col("vector").alias("_q")))
     return vectors.join(asked).select("query_id", "path", V.cosine(F.col("vector"), F.col("_q")).alias("similarity"))
 
 
+def query_blocks(queries: DataFrame, rows: int = BLOCK_QUERIES) -> list[DataFrame]:
+    """queries in parts of about that many rows, by a hash of their ids."""
+    n = -(-queries.count() // rows) or 1
+    at = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    return [queries if n == 1 else queries.where(at == i) for i in range(n)]
+
+
 def semantic_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, candidates: DataFrame | None = None) -> DataFrame:
     """(query_id, path, similarity, rank) of positive similarities.
 
     candidates: (query_id, path) pairs, as from a lexical search; only they are compared.
     """
     if candidates is None:
-        scored = similarities(vectors, queries)
-    else:
-        pairs = candidates.select("query_id", "path").join(small(queries.select("query_id", F.col("vector").alias("_q"))), "query_id")
-        scored = vectors.join(pairs, "path").select("query_id", "path", V.cosine(F.col("vector"), F.col("_q")).alias("similarity"))
+        blocks = [ranked(similarities(vectors, b).where("similarity > 0"), "similarity", max(limit, 0)) for b in query_blocks(queries)]
+        return reduce(DataFrame.unionByName, blocks)
+    pairs = candidates.select("query_id", "path").join(small(queries.select("query_id", F.col("vector").alias("_q"))), "query_id")
+    scored = vectors.join(pairs, "path").select("query_id", "path", V.cosine(F.col("vector"), F.col("_q")).alias("similarity"))
     return ranked(scored.where("similarity > 0"), "similarity", max(limit, 0))
 
 

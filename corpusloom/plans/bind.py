@@ -21,15 +21,15 @@ FILES_SQL = "files AS (SELECT concat_ws('/', source, lang, doc_id::VARCHAR) AS p
 
 
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that follow each other in an order, of large quantities: a sparse graph."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select("l_orderkey", "l_linenumber", "l_partkey")
+    """Parts that follow each other in an order."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     nxt = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
     return li.join(nxt, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("src"), "dst").where("src <> dst").distinct()
 
 
 EDGES_SQL = """edges AS (
   SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-  WHERE a.l_quantity >= 45 AND b.l_quantity >= 45 AND a.l_partkey <> b.l_partkey)"""
+  WHERE a.l_partkey <> b.l_partkey)"""
 
 
 def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

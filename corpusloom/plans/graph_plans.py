@@ -10,8 +10,9 @@ from corpusloom.operators import graph as G
 from corpusloom.operators import impact as I
 from corpusloom.plans.bind import EDGES_SQL, TRADE_SQL, nation_edges, part_edges, table
 
-_SEEDS = "node % 13 = 0"
-SEEDS_SQL = "seeds AS (SELECT DISTINCT src AS query_id, src AS node FROM edges WHERE src % 13 = 0)"
+#: The stated starts: ids divisible by 20.
+_SEEDS = "node % 20 = 0"
+SEEDS_SQL = "seeds AS (SELECT DISTINCT src AS query_id, src AS node FROM edges WHERE src % 20 = 0)"
 
 
 def _seeds(edges):
@@ -98,12 +99,12 @@ def longest_prefix_join(spark, d):
     """Names of parts as dotted modules, resolved to the deepest known prefix."""
     dotted = F.replace(F.col("p_name"), F.lit(" "), F.lit("."))
     names = table(spark, d, "part").select(F.concat(dotted, F.lit(".v"), F.col("p_size").cast("string")).alias("name"))
-    known = table(spark, d, "part").where("p_partkey % 3 = 0").select(F.explode(F.array(dotted, F.substring_index(dotted, ".", 1))).alias("key")).distinct().withColumn("value", F.concat(F.replace("key", F.lit("."), F.lit("/")), F.lit(".py")))
+    known = table(spark, d, "part").select(F.explode(F.array(F.substring_index(dotted, ".", 2), F.substring_index(dotted, ".", 1))).alias("key")).distinct().withColumn("value", F.concat(F.replace("key", F.lit("."), F.lit("/")), F.lit(".py")))
     return G.longest_prefix(names, known)
 
 
 PREFIX_SQL = """WITH n AS (SELECT DISTINCT replace(p_name, ' ', '.') || '.v' || p_size::VARCHAR AS name FROM part),
-k AS (SELECT DISTINCT unnest([replace(p_name, ' ', '.'), string_split(p_name, ' ')[1]]) AS key FROM part WHERE p_partkey % 3 = 0)
+k AS (SELECT DISTINCT unnest([array_to_string(string_split(p_name, ' ')[:2], '.'), string_split(p_name, ' ')[1]]) AS key FROM part)
 SELECT name, arg_max(key, length(key)) AS target, replace(arg_max(key, length(key)), '.', '/') || '.py' AS value FROM n JOIN k ON name = key OR starts_with(name, key || '.') GROUP BY name"""
 
 
@@ -148,10 +149,10 @@ def _file_edges(spark, d):
     a = f.select(F.col("c_custkey").alias("o_custkey"), F.col("path").alias("src"))
     b = f.select(F.col("c_custkey").alias("k2"), F.col("path").alias("dst"))
     nxt = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("k2"))
-    return G.edge_table(o.where("o_orderkey % 50 = 0").join(nxt, "o_orderkey").join(a, "o_custkey").join(b, "k2"))
+    return G.edge_table(o.join(nxt, "o_orderkey").join(a, "o_custkey").join(b, "k2"))
 
 
-FILE_EDGES_SQL = """fe AS (SELECT DISTINCT a.path AS src, b.path AS dst FROM orders o JOIN orders p ON p.o_orderkey = o.o_orderkey + 1 AND o.o_orderkey % 50 = 0 JOIN tree a ON a.c_custkey = o.o_custkey JOIN tree b ON b.c_custkey = p.o_custkey WHERE a.path <> b.path)"""
+FILE_EDGES_SQL = """fe AS (SELECT DISTINCT a.path AS src, b.path AS dst FROM orders o JOIN orders p ON p.o_orderkey = o.o_orderkey + 1 JOIN tree a ON a.c_custkey = o.o_custkey JOIN tree b ON b.c_custkey = p.o_custkey WHERE a.path <> b.path)"""
 
 
 def subsystem_projection(spark, d):
@@ -176,12 +177,16 @@ up AS (SELECT DISTINCT package AS node, 0 AS layer FROM pk UNION SELECT pe.src,
 SELECT string_split(node, '/')[1] AS subsystem, node AS package, max(layer)::BIGINT AS layer FROM up GROUP BY ALL"""
 
 
+#: An order of lines that tells rows apart which share order, line number and part.
+_SEQ = "CAST((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS DECIMAL(20, 0)) * 10000000000 + l_suppkey * 10 + (ascii(l_returnflag) % 5) * 2 + ascii(l_linestatus) % 2"
+
+
 def _relations(spark, d):
     """Relations between orders' customers and parts, several per pair."""
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     kinds = F.array(*[F.lit(k) for k in I.PRIORITY])
-    return li.join(o, li["l_orderkey"] == o["o_orderkey"]).where("o_custkey % 10 = 0").select(
-        F.col("o_custkey").alias("target"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("seq"), (F.col("l_partkey") % 40).cast("string").alias("path"),
+    return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
+        F.col("o_custkey").alias("target"), F.expr(_SEQ).cast("decimal(38,0)").alias("seq"), (F.col("l_partkey") % 40).cast("string").alias("path"),
         F.element_at(kinds, (F.col("l_suppkey") % 10 + 1).cast("int")).alias("relationship"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("reason"),
         F.array(F.col("l_returnflag"), F.col("l_linestatus")).alias("evidence"), (F.col("l_linenumber") % 4).cast("int").alias("depth"),
         F.when(F.col("l_linenumber") > 2, F.concat(F.lit("s"), (F.col("l_partkey") % 3).cast("string"))).alias("symbol"),
@@ -191,8 +196,8 @@ def _relations(spark, d):
 _KINDS = ", ".join(f"'{k}'" for k in I.PRIORITY)
 _PRIO = "CASE relationship " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in I.PRIORITY.items()) + " END"
 _BUCK = "CASE relationship " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in I.BUCKET.items()) + " END"
-RELATIONS_SQL = f"""rel AS (SELECT o_custkey AS target, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, (l_partkey % 40)::VARCHAR AS path, [{_KINDS}][(l_suppkey % 10 + 1)] AS relationship, 'line ' || l_linenumber::VARCHAR AS reason,
-  l_returnflag AS e1, l_linestatus AS e2, l_linenumber % 4 AS depth, CASE WHEN l_linenumber > 2 THEN 's' || (l_partkey % 3)::VARCHAR END AS symbol FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 10 = 0),
+RELATIONS_SQL = f"""rel AS (SELECT o_custkey AS target, ({_SEQ})::HUGEINT AS seq, (l_partkey % 40)::VARCHAR AS path, [{_KINDS}][(l_suppkey % 10 + 1)] AS relationship, 'line ' || l_linenumber::VARCHAR AS reason,
+  l_returnflag AS e1, l_linestatus AS e2, l_linenumber % 4 AS depth, CASE WHEN l_linenumber > 2 THEN 's' || (l_partkey % 3)::VARCHAR END AS symbol FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 ev AS (SELECT target, path, string_agg(e, ' ' ORDER BY s) AS evidence FROM (SELECT target, path, e, min(s) AS s FROM (SELECT target, path, e1 AS e, seq * 2 AS s FROM rel UNION ALL SELECT target, path, e2, seq * 2 + 1 FROM rel) GROUP BY ALL) GROUP BY ALL),
 pick AS (SELECT *, row_number() OVER (PARTITION BY target, path ORDER BY {_PRIO} DESC, seq) AS k FROM rel),
 firsts AS (SELECT target, path, arg_min(symbol, seq) FILTER (symbol IS NOT NULL) AS symbol, coalesce(arg_min(depth, seq) FILTER (depth <> 0), 0) AS depth FROM rel GROUP BY ALL),

@@ -78,8 +78,8 @@ def _vectors(spark, d):
 
 
 def _probe(spark, d):
-    """The stated query vectors: ids divisible by 100."""
-    return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"))
+    """The stated query vectors: ids divisible by 20."""
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def cosine_topk(spark, d):
@@ -90,7 +90,7 @@ def cosine_topk(spark, d):
 
 _COS = "list_dot_product(list_transform({0}, lambda x: x::DOUBLE), list_transform({1}, lambda x: x::DOUBLE))"
 SIM_SQL = f"""v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
-sim AS (SELECT q.vec_id::VARCHAR AS query_id, b.vec_id::VARCHAR AS path, CASE WHEN q.n * b.n > 0 THEN greatest(-1.0, least(1.0, list_dot_product(q.e, b.e) / (q.n * b.n))) ELSE 0 END AS similarity FROM n q JOIN n b ON q.vec_id % 100 = 0),
+sim AS (SELECT q.vec_id::VARCHAR AS query_id, b.vec_id::VARCHAR AS path, CASE WHEN q.n * b.n > 0 THEN greatest(-1.0, least(1.0, list_dot_product(q.e, b.e) / (q.n * b.n))) ELSE 0 END AS similarity FROM n q JOIN n b ON q.vec_id % 20 = 0),
 sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, path) AS rank FROM sim WHERE similarity > 0)"""
 COSINE_SQL = f"WITH {SIM_SQL} SELECT query_id, path, round(similarity, 6) AS similarity, rank FROM sem WHERE rank <= 10"
 
@@ -106,12 +106,12 @@ L2_SQL = "WITH v AS (SELECT vec_id::VARCHAR AS path, list_transform(embedding, l
 def _two_lists(spark, d):
     """A lexical and a semantic ranking of the same vectors: label overlap, cosine."""
     sem = semantic.semantic_search(_vectors(spark, d), _probe(spark, d), 40)
-    probe = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("label").alias("_l"))
-    lex = _vectors(spark, d).join(F.broadcast(probe)).select("query_id", "path", (F.when(F.col("label") == F.col("_l"), 100).otherwise(0) + F.length("path") * 3).cast("bigint").alias("score"))
+    probe = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("label").alias("_l"))
+    lex = _vectors(spark, d).join(search.small(probe)).select("query_id", "path", (F.when(F.col("label") == F.col("_l"), 100).otherwise(0) + F.length("path") * 3).cast("bigint").alias("score"))
     return search.ranked(lex, "score", 40), sem
 
 
-_LISTS_SQL = f"""{SIM_SQL}, l0 AS (SELECT q.vec_id::VARCHAR AS query_id, b.vec_id::VARCHAR AS path, (CASE WHEN q.label = b.label THEN 100 ELSE 0 END + length(b.vec_id::VARCHAR) * 3)::BIGINT AS score FROM embeddings q JOIN embeddings b ON q.vec_id % 100 = 0),
+_LISTS_SQL = f"""{SIM_SQL}, l0 AS (SELECT q.vec_id::VARCHAR AS query_id, b.vec_id::VARCHAR AS path, (CASE WHEN q.label = b.label THEN 100 ELSE 0 END + length(b.vec_id::VARCHAR) * 3)::BIGINT AS score FROM embeddings q JOIN embeddings b ON q.vec_id % 20 = 0),
 l1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM l0), lx AS (SELECT * FROM l1 WHERE rank <= 40), sx AS (SELECT * FROM sem WHERE rank <= 40),
 lm AS (SELECT *, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w)::DOUBLE ELSE 1.0 END AS mm FROM lx WINDOW w AS (PARTITION BY query_id)),
 sm AS (SELECT *, CASE WHEN max(similarity) OVER w > min(similarity) OVER w THEN (similarity - min(similarity) OVER w) / (max(similarity) OVER w - min(similarity) OVER w) ELSE 1.0 END AS mm FROM sx WINDOW w AS (PARTITION BY query_id)),
@@ -143,13 +143,13 @@ def minmax_normalise(spark, d):
 def precision_recall_mrr(spark, d):
     """Neighbours of equal label are the relevant ones."""
     top = semantic.semantic_search(_vectors(spark, d), _probe(spark, d), 5)
-    probe = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("label").alias("label"))
-    truth = _vectors(spark, d).join(F.broadcast(probe), "label").select("query_id", "path")
+    probe = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("label").alias("label"))
+    truth = _vectors(spark, d).join(search.small(probe), "label").select("query_id", "path")
     cases = evaluate.per_query(top, truth, 5)
     return cases.select("query_id", "retrieved", "relevant", "hits", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "reciprocal_rank")])
 
 
-_CASES_SQL = f"""{SIM_SQL}, top AS (SELECT * FROM sem WHERE rank <= 5), truth AS (SELECT q.vec_id::VARCHAR AS query_id, b.vec_id::VARCHAR AS path FROM embeddings q JOIN embeddings b ON q.label = b.label AND q.vec_id % 100 = 0),
+_CASES_SQL = f"""{SIM_SQL}, top AS (SELECT * FROM sem WHERE rank <= 5), truth AS (SELECT q.vec_id::VARCHAR AS query_id, b.vec_id::VARCHAR AS path FROM embeddings q JOIN embeddings b ON q.label = b.label AND q.vec_id % 20 = 0),
 g AS (SELECT t.query_id, count(*) AS retrieved, count(r.path) AS hits, min(CASE WHEN r.path IS NOT NULL THEN t.rank END) AS fr FROM top t LEFT JOIN truth r ON t.query_id = r.query_id AND t.path = r.path GROUP BY ALL),
 w AS (SELECT query_id, count(*) AS relevant FROM truth GROUP BY ALL),
 cases AS (SELECT w.query_id, coalesce(retrieved, 0) AS retrieved, relevant, coalesce(hits, 0) AS hits, CASE WHEN coalesce(retrieved, 0) > 0 THEN hits / retrieved ELSE 0 END AS precision, coalesce(hits, 0) / relevant AS recall, coalesce(1.0 / fr, 0) AS reciprocal_rank FROM w LEFT JOIN g USING (query_id))"""
@@ -157,8 +157,8 @@ cases AS (SELECT w.query_id, coalesce(retrieved, 0) AS retrieved, relevant, coal
 
 def evaluation_summary(spark, d):
     top = semantic.semantic_search(_vectors(spark, d), _probe(spark, d), 5)
-    probe = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("label").alias("label"))
-    truth = _vectors(spark, d).join(F.broadcast(probe), "label").select("query_id", "path")
+    probe = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("label").alias("label"))
+    truth = _vectors(spark, d).join(search.small(probe), "label").select("query_id", "path")
     s = evaluate.summary(evaluate.per_query(top, truth, 5))
     return s.select("queries", *[F.round(c, 6).alias(c) for c in ("mean_precision", "mean_recall", "mrr")])
 
@@ -178,13 +178,13 @@ def required_outcomes(spark, d):
     """How far each required customer came: orders, open orders, large open orders."""
     o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("query_id"), F.col("o_custkey").alias("path"), "o_orderstatus", "o_totalprice")
     prios = o.select("query_id").distinct()
-    required = table(spark, d, "customer").where("c_acctbal > 8000").select(F.col("c_custkey").alias("path")).join(F.broadcast(prios))
+    required = table(spark, d, "customer").select(F.col("c_custkey").alias("path")).join(F.broadcast(prios))
     found = evaluate.outcomes(required, o, o.where("o_orderstatus <> 'F'"), o.where("o_orderstatus <> 'F' and o_totalprice > 300000"))
     return found.groupBy("query_id", "outcome").agg(F.count("*").alias("files"))
 
 
 OUTCOMES_SQL = """WITH o AS (SELECT o_orderpriority AS query_id, o_custkey AS path, bool_or(o_orderstatus <> 'F') AS r, bool_or(o_orderstatus <> 'F' AND o_totalprice > 300000) AS s FROM orders GROUP BY ALL),
-q AS (SELECT p.query_id, c_custkey AS path FROM customer, (SELECT DISTINCT o_orderpriority AS query_id FROM orders) p WHERE c_acctbal > 8000)
+q AS (SELECT p.query_id, c_custkey AS path FROM customer, (SELECT DISTINCT o_orderpriority AS query_id FROM orders) p)
 SELECT q.query_id, CASE WHEN s THEN 'SELECTED' WHEN r THEN 'RANKED_NOT_SELECTED' WHEN o.path IS NOT NULL THEN 'DISCOVERED_NOT_RANKED' ELSE 'NOT_DISCOVERED' END AS outcome, count(*) AS files
 FROM q LEFT JOIN o ON q.query_id = o.query_id AND q.path = o.path GROUP BY ALL"""
 

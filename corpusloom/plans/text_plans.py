@@ -17,12 +17,12 @@ SQL_TOKENS = (
 
 def tokenize_terms(spark, d):
     t = T.tokens(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(t).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(t)).cast("bigint").alias("n_distinct"), F.array_join(F.slice(t, 1, 12), " ").alias("head"))
+    return table(spark, d, "documents").select("doc_id", F.size(t).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(t)).cast("bigint").alias("n_distinct"), F.md5(F.array_join(t, " ")).alias("digest"))
 
 
 def term_frequencies(spark, d):
     terms = table(spark, d, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
-    return terms.groupBy("term").agg(F.count("*").alias("occurrences"), F.count_distinct("doc_id").alias("files")).where("files >= 10")
+    return terms.groupBy("term").agg(F.count("*").alias("occurrences"), F.count_distinct("doc_id").alias("files"))
 
 
 def compact_names(spark, d):
@@ -122,8 +122,8 @@ QUERIES = {f.__name__: f for f in (tokenize_terms, term_frequencies, compact_nam
 
 _T = SQL_TOKENS.format("text")
 ORACLE_SQL = {
-    "tokenize_terms": f"SELECT doc_id, len({_T})::BIGINT AS n_tokens, len(list_distinct({_T}))::BIGINT AS n_distinct, array_to_string({_T}[1:12], ' ') AS head FROM documents",
-    "term_frequencies": f"SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS files FROM (SELECT doc_id, unnest({_T}) AS term FROM documents) GROUP BY term HAVING count(DISTINCT doc_id) >= 10",
+    "tokenize_terms": f"SELECT doc_id, len({_T})::BIGINT AS n_tokens, len(list_distinct({_T}))::BIGINT AS n_distinct, md5(array_to_string({_T}, ' ')) AS digest FROM documents",
+    "term_frequencies": f"SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS files FROM (SELECT doc_id, unnest({_T}) AS term FROM documents) GROUP BY term",
     "compact_names": "SELECT p_partkey, array_to_string({0}, '') AS compact, array_to_string(list_filter({0}, lambda x, i: list_position({0}, x) = i), ' ') AS terms FROM part".format(SQL_TOKENS.format("p_name")),
     "camel_tokens": "WITH c AS (SELECT p_partkey, upper(p_brand[1]) || lower(p_brand[2:]) || array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(w[1]) || lower(w[2:])), '') || 'HTTPServer' AS n FROM part) SELECT p_partkey, array_to_string({0}, ' ') AS terms FROM c".format(SQL_TOKENS.format("n")),
     "token_estimates": "SELECT doc_id, greatest(1, ceil(length(coalesce(text, '')) / 4.0))::BIGINT AS tokens FROM documents",
