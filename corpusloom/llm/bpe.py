@@ -30,7 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import small_batches
 
 CACHE_ENTRIES = 300_000  # in each of two generations
 CACHED_CHARS = 64
@@ -261,7 +260,6 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
                         raise ValueError("a text does not survive encoding and decoding")
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // 4 for i in packed], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    small_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("doc_id"), F.col(text))
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources import scratch
+
 #: White space between words, as a Java (and RE2) character class body.
 WS = r"\x20\x09-\x0D"
 WS_CHARS = " \t\n\x0b\x0c\r"
@@ -44,50 +44,23 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WS_RUN))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand texts to Python in smaller Arrow batches: ten thousand long texts take much memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-_OWN_ROOT: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, else the warehouse.
-
-    A local session without the setting (tests) gets a folder of its own.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    if not _OWN_ROOT:
-        _OWN_ROOT.append(f"/tmp/checkpoints/corpusloom-{os.getpid()}-{uuid.uuid4().hex[:8]}")
-        atexit.register(shutil.rmtree, _OWN_ROOT[0], ignore_errors=True)
-    return f"file://{_OWN_ROOT[0]}"
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """batches in slices: Spark bounds a batch by its bytes, and Python holds a slice at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
-class Scratch:
-    """Tables written below the shared folder, so lineage ends there.
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
 
-    A lost executor costs a read from the shared folder, never a recomputation
-    that could number rows differently.
-    """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
+class Scratch(scratch.Scratch):
+    """Tables below the shared folder; save returns the reread table with its path."""
 
     def save(self, df: DataFrame) -> tuple[DataFrame, str]:
-        """Write df as Parquet; return it reread, with its path."""
-        path = f"{self.root}/t{self.count}"
-        self.count += 1
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), path
-
-    def drop(self, path: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        return self.put(df)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import small_batches
+from corpusloom.llm.common import sliced
 
 FIT_DOCUMENTS = 3000
 HELD_OUT = 5
@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS) -> Cha
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [line_features(t.as_py())[0].astype("<f8").tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "quality", "x"])
 
@@ -197,22 +197,20 @@ def score(docs: DataFrame, model: ChainCRF, text: str = "text", key: str = "doc_
     """(doc_id, score) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [model.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    small_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("doc_id"), F.col(text))
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def keep_good(docs: DataFrame, model: ChainCRF, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """docs whose text scores the threshold or more, with all their columns."""
-    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([model.score(t.as_py()) >= threshold for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, small_batches, without_space
+from corpusloom.llm.common import Scratch, sliced, without_space
 
 MIN_WORDS = 10
 
@@ -137,7 +137,6 @@ def cut(text: str | None, runs: list[tuple[int, int]], min_words: int) -> tuple[
 
 def _with_runs(docs: DataFrame, text: str, key: str) -> DataFrame:
     """docs with _ld_runs: the runs of its lines that have an earlier copy."""
-    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "line-dedup")
     lines, _ = scratch.save(sequence(docs, text, key))
     found = copied_prefixes(suffix_levels(lines, scratch), scratch)
@@ -159,7 +158,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool
     at, runs_at, names = docs.columns.index(text), len(docs.columns), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, keep = [], []
             for t, r in zip(batch.column(at), batch.column(runs_at), strict=True):
                 runs = _runs(r)
@@ -177,7 +176,7 @@ def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     marked = _with_runs(docs.select("doc_id", "text"), "text", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [cut(t.as_py(), _runs(r), min_words) for t, r in zip(batch.column(1), batch.column(2), strict=True)]
             sha = [hashlib.sha256((r[0] or "").encode("utf-8", "surrogatepass")).hexdigest() for r in rows]
             yield pa.RecordBatch.from_arrays(

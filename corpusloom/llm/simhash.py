@@ -4,23 +4,29 @@ A document's fingerprint has a bit set if over half of its shingles' XXH64 value
 have. Fingerprints within two bits of each other are linked; a document's
 component is the set it reaches over links.
 
-Lookup. The fingerprint is cut into two 32-bit segments. A segment's Hamming
-ball of radius one has 33 values; each is entered with the other segment as it
-stands, which makes 65 table keys a fingerprint. Two fingerprints two bits apart
-meet at a key whichever segments their bits lie in: one of the bits is turned by
-each. All fingerprints at a key lie within one bit of it, so a key holds at most
-65 of them and no pair list is built: neighbours in the key's order are linked
-after their complete distance is verified, and what a key holds is a chain.
-Copies share a fingerprint and are collapsed before; documents get their
-component by an equi-join on it, which adaptive execution splits if one is hot.
+Lookup. The fingerprint is cut into two 32-bit segments, and each has a table from
+its value to the fingerprints that hold it. Of two fingerprints that differ in two
+bits at most, one segment differs in one bit at most, so each fingerprint asks each
+table for the 33 values of its segment's Hamming ball of radius one; what it gets is
+verified by the complete distance. Copies share a fingerprint and are collapsed
+before; documents get their component by an equi-join on it.
+
+Hot values. A value that more than ``HOT`` fingerprints hold isn't joined with its
+askers, as that would be all pairs of a group. The fingerprints that hold or ask for
+such a value are entered, both segments together, at the 65 keys that differ from
+them in one bit at most. Any two of them within two bits meet at a key (one of the
+bits is turned by each), and a key has at most 65 fingerprints, all within two bits
+of each other, so links between neighbours in the key's order connect them.
 
 Components: large-star and small-star rounds on the links, written to the shared
 folder after each, until they no longer change.
 
 Defined cases. Null, empty or blank text: fingerprint zero, linked like any
 other. Fewer words than a shingle: one shingle of all words. Repeated rows: equal
-fingerprints. Empty table: empty result. Other columns are not read; texts are
-taken whole.
+fingerprints, a row each. Null doc_id: a row like any other; its component has the
+smallest doc_id that isn't null, if there is one. Very long texts are taken whole, one
+at a time. Empty table: empty result. Other columns are not read by the fingerprints;
+``drop_near_copies`` returns all columns unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,13 +36,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, UPPER, Scratch, small_batches
+from corpusloom.llm.common import LOWER, UPPER, Scratch, fresh_name, sliced
 
 SEED = 42
 SEGMENTS = ((0, 32), (32, 64))
+HOT = 64  # fingerprints of one segment value that are joined with its askers
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -71,7 +78,7 @@ def fingerprints(docs: DataFrame, words: int = 3, distinct: bool = False, text:
     """(doc_id, fp long) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [fingerprint(t.as_py(), words, distinct) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
@@ -79,37 +86,72 @@ def fingerprints(docs: DataFrame, words: int = 3, distinct: bool = False, text:
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def ball(fp: str = "fp"):
-    """The 65 table keys: each segment's one-bit ball beside the other segment."""
-    turned = [F.col(fp).bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for a, z in SEGMENTS for b in range(a, z)]
-    return F.array(F.col(fp), *turned)
+def segment_values(fp: str = "fp") -> Column:
+    """Table keys: (segment, value) in one number for each segment."""
+    return F.array(*[_segment(F.col(fp), i) for i in range(len(SEGMENTS))])
 
 
-def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
-    """(u, v) over fingerprints; connects all within two bits of each other."""
-    table = distinct.select(F.explode(ball()).alias("at"), "fp")
+def segment_balls(fp: str = "fp") -> Column:
+    """The keys asked for: each segment's value and those a bit away, 33 a segment."""
+    keys = []
+    for i, (a, z) in enumerate(SEGMENTS):
+        own = _segment(F.col(fp), i)
+        keys += [own, *[own.bitwiseXOR(F.lit(1 << b)) for b in range(z - a)]]
+    return F.array(*keys)
+
+
+def _segment(fp: Column, i: int) -> Column:
+    a, z = SEGMENTS[i]
+    return F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (z - a)) - 1)) + F.lit(i << (z - a))
+
+
+def whole_ball(fp: str = "fp") -> Column:
+    """The 65 fingerprints that differ in one bit at most."""
+    return F.array(F.col(fp), *[F.col(fp).bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(64)])
+
+
+def hot_links(fps: DataFrame, distance: int) -> DataFrame:
+    """(u, v) that connect all of fps within two bits, whatever segments they share."""
+    table = fps.select(F.explode(whole_ball()).alias("at"), "fp")
     before = F.lag("fp").over(Window.partitionBy("at").orderBy("fp"))
-    pairs = table.select("fp", before.alias("other")).where("other is not null")
-    pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance)
-    return pairs.select(F.col("fp").alias("u"), F.col("other").alias("v")).distinct()
+    pairs = table.select(F.col("fp").alias("v"), before.alias("u")).where("u is not null")
+    return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance).select("u", "v")
+
+
+def links(distinct: DataFrame, scratch: Scratch, distance: int = 2, hot: int = HOT) -> DataFrame:
+    """(u, v) over fingerprints; connects all within two bits of each other."""
+    table = distinct.select(F.explode(segment_values()).alias("at"), "fp")
+    asked = distinct.select(F.explode(segment_balls()).alias("at"), F.col("fp").alias("asker"))
+    crowded, _ = scratch.save(table.groupBy("at").count().where(F.col("count") > hot).select("at"))
+    near = (F.col("asker") < F.col("fp")) & (F.bit_count(F.col("asker").bitwiseXOR(F.col("fp"))) <= distance)
+    if crowded.isEmpty():
+        found = asked.join(table, "at").where(near).select(F.col("asker").alias("u"), F.col("fp").alias("v"))
+    else:
+        found = asked.join(table.join(crowded, "at", "left_anti"), "at").where(near).select(F.col("asker").alias("u"), F.col("fp").alias("v"))
+        touched, _ = scratch.save(asked.join(crowded, "at", "left_semi").select(F.col("asker").alias("fp")).distinct())
+        found = found.union(hot_links(touched, distance))
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(u, v), u > v: each linked node with the smallest node of its component."""
+    """(u, v), u > v: each linked node with the smallest node of its component.
+
+    Smallest neighbours are written before they are joined back, as a join of two
+    plain tables is one that adaptive execution can split at a hub.
+    """
     now, at = scratch.save(edges)
     seen = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least, one = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large, mid = scratch.save(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        least, two = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         small, end = scratch.save(small)
         sign = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(mid)
-        scratch.drop(at)
+        for path in (at, one, mid, two):
+            scratch.drop(path)
         now, at = small, end
         if sign == seen:
             return now
@@ -123,7 +165,7 @@ def near_components(docs: DataFrame, words: int = 3, distance: int = 2, distinct
     scratch = Scratch(docs.sparkSession, "simhash")
     marked, _ = scratch.save(fingerprints(docs, words, distinct, text, key))
     unique, _ = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(unique, distance), scratch)
+    roots = components(links(unique, scratch, distance), scratch)
     rooted = unique.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
@@ -136,15 +178,31 @@ FREQUENT = 200_000  # shingles ordered last; which ones are never changes the re
 FREQUENT_SAMPLE, FREQUENT_LEAST = 16, 3
 STAR_ROUNDS = 4
 STAR_SHARE = 0.25  # of the shorter prefix, for a comparison ahead of the last round
+STAR_GAIN = 0.2  # links a comparison that the next star round is worth
 BROADCAST_IDS = 1_000_000
+_MARKS = 1 << 22
 
 
-def shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
-    """Distinct hashes of the shingles; all words are one if there are fewer."""
-    import xxhash
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        found = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return found
 
-    parts = [b" ".join(tokens[i:i + words]) for i in range(max(1, len(tokens) - words + 1))]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), dtype=np.uint64)).view(np.int64)
+
+def shingle_hashes(tokens: list[bytes], words: int, known: _WordHashes | None = None) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles, sorted; all words are one if there are fewer."""
+    known = _WordHashes() if known is None else known
+    hashes = np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+    k = min(words, len(tokens))
+    found = np.zeros(max(1, len(tokens) - words + 1), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            found = (found ^ (found >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[i:i + len(found)]
+        found = (found ^ (found >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        found = (found ^ (found >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.unique(found ^ (found >> np.uint64(31))).view(np.int64)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -157,13 +215,17 @@ def _tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TO_LOWER).split()
 
 
+def _sets(texts, words: int) -> list[np.ndarray]:
+    known = _WordHashes()
+    return [shingle_hashes(_tokens(t.as_py()), words, known) for t in texts]
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, shingles) of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = _lists([shingle_hashes(_tokens(t.as_py()), words) for t in batch.column(1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["doc_id", "shingles"])
+        for batch in sliced(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(_sets(batch.column(1), words))], ["doc_id", "shingles"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, shingles array<bigint>")
 
@@ -178,19 +240,32 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
     return at[order], n[order]
 
 
-def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+def marks_of(common: np.ndarray) -> np.ndarray:
+    """Which low bits the common shingles have: a quick no for nearly all others."""
+    marks = np.zeros(_MARKS, dtype=bool)
+    marks[common & (_MARKS - 1)] = True
+    return marks
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float, marks: np.ndarray | None = None) -> np.ndarray:
     """The first n - ceil(similarity n) + 1 shingles, common ones ordered last.
 
-    The order is the same for all documents, so two sets of the similarity share one.
+    The order, by count and then by hash, is the same for all documents, so two sets of
+    the similarity share one.
     """
-    n = len(shingles)
-    length = n - math.ceil(similarity * n - 1e-9) + 1
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        rank = np.where(common[at] == shingles, counts[at], 0)
-    else:
-        rank = np.zeros(n, np.int64)
-    return shingles[np.lexsort((shingles, rank))[:length]]
+    length = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1
+    if not len(common):
+        return shingles[:length]
+    maybe = np.flatnonzero((marks_of(common) if marks is None else marks)[shingles & (_MARKS - 1)])
+    at = np.minimum(np.searchsorted(common, shingles[maybe]), len(common) - 1)
+    known = common[at] == shingles[maybe]
+    last, rank = maybe[known], counts[at[known]]
+    rare = np.ones(len(shingles), dtype=bool)
+    rare[last] = False
+    first = shingles[rare][:length]
+    if len(first) == length:
+        return first
+    return np.concatenate([first, shingles[last[np.lexsort((last, rank))]][:length - len(first)]])
 
 
 def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -201,12 +276,13 @@ def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
         import xxhash
 
         common, counts = shared.value
-        for batch in batches:
-            sets = [shingle_hashes(_tokens(t.as_py()), words) for t in batch.column(1)]
+        marks = marks_of(common)
+        for batch in sliced(batches):
+            sets = _sets(batch.column(1), words)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.array([len(s) for s in sets], pa.int32()), _lists([prefix(s, common, counts, similarity) for s in sets]),
+                    pa.array([len(s) for s in sets], pa.int32()), _lists([prefix(s, common, counts, similarity, marks) for s in sets]),
                 ],
                 ["doc_id", "sig", "n", "prefix"],
             )
@@ -223,17 +299,20 @@ def similar_pairs(pairs: DataFrame, shingles: DataFrame, similarity: float) -> D
     return pairs.join(one, "a").join(two, "b").where(jaccard >= similarity).select("a", "b").distinct()
 
 
-def _in_components(table: DataFrame, root: DataFrame) -> DataFrame:
-    """The rows of table with their component c, at keys where several meet."""
+def _in_components(table: DataFrame, root: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """The rows of table with their component c, at keys where several meet; written."""
     named = table.join(root.select(F.col("u").alias("doc_id"), "v"), "doc_id", "left").withColumn("c", F.coalesce("v", "doc_id")).drop("v")
-    mixed = named.groupBy("at").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi").select("at")
-    return named.join(mixed, "at", "left_semi")
+    mixed, at = scratch.save(named.groupBy("at").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi").select("at"))
+    rows, rows_at = scratch.save(named.join(mixed, "at", "left_semi"))
+    scratch.drop(at)
+    return rows, rows_at
 
 
-def star_pairs(rows: DataFrame, turn: int, similarity: float) -> DataFrame:
+def star_pairs(rows: DataFrame, turn: int, similarity: float, scratch: Scratch) -> DataFrame:
     """(a, b): each document with that first document of its keys that is met most often."""
     order = F.xxhash64(F.lit(turn), "doc_id")
-    first = rows.groupBy("at").agg(F.min(F.struct(order.alias("h"), F.col("doc_id").alias("f"), F.col("c").alias("fc"), F.col("n").alias("fn"), F.col("p").alias("fp"))).alias("x")).select("at", "x.f", "x.fc", "x.fn", "x.fp")
+    first = rows.groupBy("at").agg(F.min(F.struct(order.alias("h"), F.col("doc_id").alias("f"), F.col("c").alias("fc"), F.col("n").alias("fn"), F.col("p").alias("fp"))).alias("x"))
+    first, _ = scratch.save(first.select("at", "x.f", "x.fc", "x.fn", "x.fp"))
     met = rows.join(first, "at").where("c <> fc").where(F.least("n", "fn") >= similarity * F.greatest("n", "fn") - 1e-9)
     often = met.groupBy("doc_id", "f", "p", "fp").count().where(F.col("count") >= STAR_SHARE * F.least("p", "fp"))
     best = often.groupBy("doc_id").agg(F.max(F.struct("count", "f")).alias("x"))
@@ -255,63 +334,75 @@ def open_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     return met.groupBy("a", "b", "x", "y", "p", "q").count().where(F.col("count") >= shared).select("a", "b").distinct()
 
 
-def similar_components(docs: DataFrame, similarity: float = 0.8, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+def similar_components(docs: DataFrame, similarity: float = 0.8, words: int = 5, text: str = "text", key: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, component_id) of documents whose component has a smaller doc_id.
 
-    Pairs of five-word-shingle similarity 0.8 or more are linked. Equal sets are collapsed.
-    Other such pairs share a shingle of their prefixes. Star rounds first compare each
-    document with one that shares its keys, which joins large groups with few comparisons;
-    then every pair that shares a key and still lies in different components is decided,
-    so none is missed.
+    doc_ids are distinct and not null. Pairs of five-word-shingle similarity 0.8 or more are
+    linked. Equal sets are collapsed. Other such pairs share a shingle of their prefixes. Star
+    rounds first compare each document with one that shares its keys, which joins large groups
+    with few comparisons; then every pair that shares a key and still lies in different
+    components is decided, so none is missed.
     """
-    small_batches(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession, "similar")
-    source = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    scratch = scratch or Scratch(docs.sparkSession, "similar")
+    source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     marked, marked_at = scratch.save(prefixes(source, words, similarity))
-    firsts, _ = scratch.save(marked.groupBy("sig").agg(F.min("doc_id").alias("a")))
-    same = marked.join(firsts, "sig").where("doc_id <> a").select(F.col("doc_id").alias("u"), F.col("a").alias("v")).distinct()
-    kept = marked.join(firsts, "sig").where("doc_id = a")
+    copied = marked.groupBy("sig").agg(F.min("doc_id").alias("a"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    copied, copied_at = scratch.save(copied)
+    same, same_at = scratch.save(marked.select("doc_id", "sig").join(copied, "sig").where("doc_id <> a").select(F.col("doc_id").alias("u"), F.col("a").alias("v")))
+    kept = marked.join(same.select(F.col("u").alias("doc_id")), "doc_id", "left_anti")
     table = kept.select("doc_id", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("at"))
-    several = table.groupBy("at").count().where("count > 1").select("at")
-    table, _ = scratch.save(table.join(several, "at", "left_semi").distinct())
+    several, several_at = scratch.save(table.groupBy("at").count().where("count > 1").select("at"))
+    table, _ = scratch.save(table.join(several, "at", "left_semi"))
+    for path in (marked_at, copied_at, several_at):
+        scratch.drop(path)
 
-    def decided(pairs: DataFrame) -> DataFrame:
-        """(u, v) of the similar ones of pairs; only their texts are read."""
+    def decided(pairs: DataFrame) -> tuple[DataFrame, int]:
+        """(u, v) of the similar ones of pairs, and how many pairs were compared; only their texts are read."""
         pairs, pairs_at = scratch.save(pairs)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("_sh_id")).distinct()
+        ids, ids_at = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("_sh_id")).distinct())
         few = ids.count() <= BROADCAST_IDS
         texts = source.join(F.broadcast(ids) if few else ids, source["doc_id"] == ids["_sh_id"]).select("doc_id", "text")
-        shingles, shingles_at = scratch.save(shingle_sets(texts, words).distinct())
+        shingles, shingles_at = scratch.save(shingle_sets(texts, words))
         found, _ = scratch.save(similar_pairs(pairs, shingles, similarity).select(F.col("b").alias("u"), F.col("a").alias("v")))
-        scratch.drop(pairs_at)
-        scratch.drop(shingles_at)
-        return found
+        n = pairs.count()
+        for path in (pairs_at, ids_at, shingles_at):
+            scratch.drop(path)
+        return found, n
 
     root = components(same, scratch)
-    scratch.drop(marked_at)
+    scratch.drop(same_at)
     for turn in range(STAR_ROUNDS):
-        rows, at = scratch.save(_in_components(table, root))
-        more = decided(star_pairs(rows, turn, similarity))
+        rows, at = _in_components(table, root, scratch)
+        more, compared = decided(star_pairs(rows, turn, similarity, scratch))
         scratch.drop(at)
-        if more.isEmpty():
+        joined = more.count()
+        if joined:
+            root = components(root.unionByName(more), scratch)
+        if joined <= STAR_GAIN * compared:
             break
-        root = components(root.unionByName(more), scratch)
-    rows, _ = scratch.save(_in_components(table, root))
-    done = components(root.unionByName(decided(open_pairs(rows, similarity))), scratch)
+    rows, _ = _in_components(table, root, scratch)
+    more, _ = decided(open_pairs(rows, similarity))
+    done = components(root.unionByName(more), scratch)
     return done.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
+def drop_near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with one document of each component, that of the smallest doc_id.
 
-    Rows that repeat an id are one document: one of them stays. Rows without an id
-    have no identity and stay.
+    Each row is a document, whatever its id. Where ids repeat or are null, rows are first
+    written with a number in the order of id (null last) and text, which stands for the id;
+    of copies with one id the first in that order stays. Columns pass through as they are.
     """
-    found = similar_components(docs, **options)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_sh_id"))
-    named = docs.where("doc_id is not null")
-    kept = named.join(gone, named["doc_id"] == gone["_sh_id"], "left_anti")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    scratch = Scratch(docs.sparkSession, "similar")
+    ids = docs.groupBy(F.col(key).alias("k")).count()
+    row, rows = key, docs
+    if not ids.where("k is null or count > 1").isEmpty():
+        row = fresh_name(docs, "row")
+        order = [F.asc_nulls_last(key), F.asc_nulls_first(text)]
+        rows, _ = scratch.save(docs.orderBy(*order).withColumn(row, F.monotonically_increasing_id()))
+    found = similar_components(rows, similarity, words, text, row, scratch)
+    gone = found.select(F.col("doc_id").alias(fresh_name(docs, "gone")))
+    return rows.join(gone, rows[row] == gone[gone.columns[0]], "left_anti").select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:

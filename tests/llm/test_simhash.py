@@ -112,7 +112,7 @@ def test_similar_edge_rows(spark):
     rows = [(1, None), (2, ""), (3, "one"), (4, "ONE"), (5, "two words"), (5, "two words"), (None, "two words"), (None, "x"), (6, "z " * 20000), (7, "Z\t" * 20000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id for r in simhash.drop_near_copies(df).collect()), key=str)
-    assert got == [1, 3, 5, 6, None, None]
+    assert got == [1, 3, 5, 6, None]
     assert simhash.drop_near_copies(df.limit(0)).count() == 0
 
 
@@ -165,3 +165,41 @@ def test_similar_in_crowded_keys(spark):
     want = brute_similar(rows)
     assert len(want) >= 20
     assert found_similar(spark, rows) == want
+
+
+def test_hot_segment_values(spark):
+    """Links through values that many fingerprints hold connect what all pairs connect."""
+    from corpusloom.llm.common import Scratch
+
+    rng = random.Random(8)
+    fps = {rng.getrandbits(64) for _ in range(60)}
+    for base in list(fps)[:3]:  # crowds that share a segment, some of them near each other
+        for _ in range(60):
+            fps.add(base ^ (rng.getrandbits(3) << 40) ^ (1 << rng.randrange(33, 64)))
+            fps.add(base ^ (1 << rng.randrange(32)) ^ (1 << rng.randrange(32)))
+    fps = sorted(int(np.uint64(f).astype(np.int64)) for f in fps)
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    want = brute_components([(f, f & (2**64 - 1)) for f in fps])
+    for hot in (4, 1000):
+        edges = [(r.u, r.v) for r in simhash.links(df, Scratch(spark, "test"), 2, hot).collect()]
+        assert all(((u ^ v) & (2**64 - 1)).bit_count() <= 2 for u, v in edges)
+        low = {f: f for f in fps}
+        moved = True
+        while moved:
+            moved = False
+            for u, v in edges:
+                if low[u] != low[v]:
+                    low[u] = low[v] = min(low[u], low[v])
+                    moved = True
+        assert [low[f] for f in fps] == want
+
+
+def test_rows_that_share_an_id(spark):
+    """Each row is a document: different texts under one id both stay."""
+    rng = random.Random(2)
+    a, b = (" ".join(rng.choices([f"v{i}" for i in range(500)], k=80)) for _ in range(2))
+    rows = [(1, a, "p"), (1, b, "q"), (2, a, "r"), (3, b + " end", "s"), (3, "other", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `row` string")
+    got = simhash.drop_near_copies(df)
+    assert got.columns == df.columns
+    assert sorted(r.row for r in got.collect()) == ["p", "q", "t"]
