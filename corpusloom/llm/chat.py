@@ -22,7 +22,8 @@ before that, and only (turn, rendered text) is shuffled.
 
 Defined cases. Null text or role: empty. Turns are ordered by turn, then role and
 text (nulls first); repeated rows all appear. Null conv_id is a conversation of
-its own. Empty table: empty result. Other columns are not read.
+its own. Very long texts are rendered whole; a conversation must fit in a task. Empty
+table: empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -89,9 +90,16 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     t = t.withColumn("_out", F.when(F.col("_ok"), F.col("_plain")).otherwise(render(F.col("role"), F.col("text"), True)))
     t = t.withColumn("_out", F.when(F.col("_ok") | same(F.col("_out"), escape(said)), F.col("_out")).otherwise(F.raise_error(F.lit("a turn does not survive its round trip"))))
     rows = t.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "_r", "_out", (F.col("role") == loss_role).alias("loss"), (~F.col("_ok")).cast("int").alias("esc")))).alias("_turns")
+        F.collect_list(F.struct("turn", "_r", "_out", (F.col("role") == loss_role).alias("loss"), (~F.col("_ok")).cast("int").alias("esc"))).alias("_turns")
     )
 
+    def placed(x: Column) -> Column:
+        """Ties are ordered by the text as it was, not as it is rendered."""
+        said = parse_turn(F.get(F.split(x["_out"], END), F.lit(0)))["text"]
+        return F.struct(x["turn"], x["_r"], said.alias("said"), x["_out"].alias("_out"), x["loss"].alias("loss"), x["esc"].alias("esc"))
+
+    rows = rows.withColumn("_turns", F.array_sort(F.transform("_turns", placed)))
+
     def run(x: Column) -> Column:
         whole = F.length(x["_out"])
         head = F.length(F.substring_index(x["_out"], CLOSE, 1)) + len(CLOSE) + 1

@@ -59,3 +59,9 @@ def test_empty_and_query(spark, tiny_dir):
     plan = chat.report(spark.read.parquet(f"{tiny_dir}/conversations.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert pytest.approx(chat.report(empty).select(F.sum("loss_chars")).first()[0]) == len("</s>[INST] ok [/INST]")
+
+
+def test_ties_go_by_the_text_as_it_was(spark):
+    rows = [(1, 0, "user", "z", "x"), (1, 0, "user", "a<s>", "x"), (1, 0, "user", None, "x"), (1, 0, None, "q</s>", "x")]
+    got = chat.read_back(chat.format_conversations(spark.createDataFrame(rows, SCHEMA))).first()
+    assert (got.n_turns, got.turns_sha256, got.loss_chars, got.loss_sha256) == expected(rows)[1]
