@@ -14,9 +14,12 @@ the few groups of two or more back by an equi-join, which adaptive execution
 splits where a group is hot: no task gathers a group. Levels are written to the
 shared folder, which ends their lineage.
 
-Defined cases. Null text: empty. Empty texts equal each other. Rows that repeat a
-doc_id in one group share its keep_id and exactly one of them is kept. Null
-doc_id: ordered last. Empty table: empty result. Other columns are not read.
+Defined cases. Null text: empty. Empty texts equal each other. Of equal texts the one
+with the most code points stays, of those as long the one of the smallest doc_id. Rows
+that repeat a doc_id in one group share its keep_id and exactly one of them is kept.
+doc_id: of any type with an order; null is ordered last. Very long texts are compared
+whole, block by block. Empty table: empty result. Other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -67,15 +70,15 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     rows = docs.select(F.col(key).alias("doc_id"), F.length(t).cast("long").alias("n_chars"), F.sha2(rest, 256).alias("text_sha256"), rest.alias("rest"))
     found = radix_groups(rows, scratch)
     copies = found.where("gid is not null")
-    best = copies.groupBy("level", "gid").agg(
-        F.max(F.struct(F.col("n_chars"), (-F.col("doc_id")).alias("back"))).alias("best"), F.count("*").alias("group_size")
-    ).select("level", "gid", "group_size", (-F.col("best.back")).alias("keep_id"))
+    order = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id")
+    best = copies.groupBy("level", "gid").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
+    best = best.select("level", "gid", "group_size", F.col("best.doc_id").alias("keep_id"))
     best, _ = scratch.save(best)  # a plain table: its join can be split where a group is hot
     joined = copies.join(best, ["level", "gid"])
     alone = found.where("gid is null").withColumns({"group_size": F.lit(1).cast("long"), "keep_id": F.col("doc_id")})
     columns = ["doc_id", "keep_id", "group_size", "text_sha256", "n_chars"]
-    # a partitioning of its own, by document: (level, gid) may be hot
-    chosen = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy(F.desc("n_chars"))) == 1
+    # dealt by document as well: (level, gid) alone may be hot
+    chosen = F.row_number().over(Window.partitionBy("doc_id", "level", "gid").orderBy(F.desc("n_chars"))) == 1
     joined = joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & chosen)
     return joined.select(*columns, "kept").unionByName(alone.select(*columns, F.lit(True).alias("kept")))
 

@@ -34,3 +34,11 @@ def test_repeated_rows_and_empty(spark):
     assert sum(r.kept for r in got) == 2
     assert {r.keep_id for r in got} == {1}
     assert exact_dedup.report(df.limit(0)).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    least = -(2**63)
+    got = {r.doc_id: r.keep_id for r in exact_dedup.report(spark.createDataFrame([(least, "x"), (5, "x"), (7, "y")], "doc_id long, text string")).collect()}
+    assert got == {least: least, 5: least, 7: 7}
+    got = {r.doc_id: r.keep_id for r in exact_dedup.report(spark.createDataFrame([("b", "x"), ("a", " x"), ("c", "x "), (None, "x")], "doc_id string, text string")).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", None: "a"}
