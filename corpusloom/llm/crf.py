@@ -5,17 +5,20 @@ its own surface features and some of its neighbours'; transition weights tie
 adjacent labels. Forward-backward gives each line's marginal, and the document's
 quality is their mean weighted by the lines' lengths in bytes.
 
-Training uses weak labels (a document's label is that of all its lines) from a
+Training finds line labels between the documents' (see ``ChainCRF.fit``), on a
 bounded sample: at most ``FIT_DOCUMENTS`` labelled documents, those smallest by
-hash among the rows that are not held out. Only that many ids are broadcast and
-only their features reach the driver. Scoring reads every whole text in one pass
+hash among the rows that are not held out. Only that many ids are broadcast, and
+only the features of at most ``FIT_LINES`` lines around the middle of each reach the driver;
+scores read all lines. Scoring reads every whole text in one pass
 without a shuffle.
 
 Defined cases. Null, empty or blank text: no line, score 0. Texts of one line have
 no transitions. Without labels of both kinds all weights are zero and a text with
-words scores 0.5. Repeated labels of a document: the largest counts. Null labels
-are skipped. Empty table: empty result. Labels, language, source and id are never
-features.
+words scores 0.5. Repeated labels of a document: the largest counts; of texts that
+share an id, training takes the smallest. Null labels and ids aren't trained on. Very
+long texts are scored whole, in memory of their length. Empty table: empty result. Ids
+are of any type. Labels, language, source and id are never features; ``keep_good``
+returns all columns unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import sliced
 
 FIT_DOCUMENTS = 3000
+FIT_LINES = 400
+SURE = 3.0  # log odds from which a line is held to be of the other label than its document
 HELD_OUT = 5
 THRESHOLD = 0.3
 
@@ -52,6 +57,7 @@ _STOP = frozenset(
 OWN = ("chars", "words", "symbols", "upper", "bangs", "bars", "digits", "word_len", "stop", "points", "repeats", "again")
 #: Features that a line also takes from the one before and the one after.
 SHARED = (2, 3, 4, 8)
+NEIGHBOURS = slice(len(OWN), len(OWN) + 2 * len(SHARED))
 WIDTH = len(OWN) + 2 * len(SHARED) + 3
 
 
@@ -120,55 +126,104 @@ class ChainCRF:
 
     @classmethod
     def fit(cls, chains: list[np.ndarray], labels: list[int], steps: int = 150, l2: float = 1.0, rate: float = 0.1) -> ChainCRF:
-        """Maximum likelihood by Adam; gradients are exact expectations."""
-        kept = [(x, y) for x, y in zip(chains, labels, strict=True) if len(x)]
+        """From document labels: line labels are latent and found in between.
+
+        A first fit, without transitions and neighbours' features, gives every line its
+        document's label and learns what single lines look like. A line that it holds to be of the other label gets that
+        one; each document keeps its own label on the line that fits it best. The chain is
+        then fitted to these line labels, so it sees changes of label inside documents.
+        """
+        kept = [(x, int(y)) for x, y in zip(chains, labels, strict=True) if len(x)]
         if len({y for _, y in kept}) < 2:
             return cls()
-        kept.sort(key=lambda c: -len(c[0]))
-        sizes = np.array([len(x) for x, _ in kept])
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        x = np.vstack([x for x, _ in kept])
-        y = np.repeat([float(v) for _, v in kept], sizes)
-        mean, scale = x.mean(axis=0), x.std(axis=0)
-        mean[-1], scale[-1] = 0.0, 1.0
-        scale[scale < 1e-9] = 1.0
-        z = (x - mean) / scale
-        # both labels weigh the same, so that the score is not the classes' ratio
-        share = y.mean()
-        weight = np.array([0.5 / (1 - share) if not v else 0.5 / share for _, v in kept])
-        of_line = np.repeat(weight, sizes)
-        longest = int(sizes[0])
-        active = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(longest)]
-        true_t = np.zeros((2, 2))
-        for (_, v), n, c in zip(kept, sizes, weight, strict=True):
-            true_t[int(v), int(v)] += c * (n - 1)
-        theta, m1, m2 = np.zeros(z.shape[1] + 4), 0.0, 0.0
+        chains, labels = [x for x, _ in kept], [y for _, y in kept]
+        alone = cls.fit_lines(chains, [np.full(len(x), float(y)) for x, y in kept], labels, steps, l2, rate, chained=False)
+        lines = []
+        for x, y in kept:
+            odds = alone.emissions(x)
+            own = (odds > (-SURE if y else SURE)).astype(float)
+            own[np.argmax(odds if y else -odds)] = y
+            lines.append(own)
+        return cls.fit_lines(chains, lines, labels, steps, l2, rate)
+
+    @classmethod
+    def fit_lines(cls, chains: list[np.ndarray], lines: list[np.ndarray], labels: list[int], steps: int = 150, l2: float = 1.0, rate: float = 0.1, chained: bool = True) -> ChainCRF:
+        """Maximum likelihood of line labels by Adam; documents of both labels weigh the same."""
+        order = sorted(range(len(chains)), key=lambda i: -len(chains[i]))
+        problem = Likelihood([chains[i] for i in order], [lines[i] for i in order], np.array([labels[i] for i in order], dtype=float), l2)
+        theta, m1, m2 = np.zeros(problem.size), 0.0, 0.0
         for step in range(1, steps + 1):
-            e, t2 = z @ theta[:-4], theta[-4:].reshape(2, 2)
-            f, b = np.zeros((len(z), 2)), np.zeros((len(z), 2))
-            for t in range(longest):
-                at = starts[:active[t]] + t
-                if t:
-                    p = f[at - 1]
-                    f[at] = np.logaddexp(p[:, :1] + t2[0], p[:, 1:] + t2[1])
-                f[at, 1] += e[at]
-            pair = np.zeros((2, 2))
-            norm = np.logaddexp(f[starts + sizes - 1, 0], f[starts + sizes - 1, 1])
-            for t in range(longest - 1, 0, -1):
-                at = starts[:active[t]] + t
-                nxt = b[at].copy()
-                nxt[:, 1] += e[at]
-                b[at - 1] = np.logaddexp(nxt[:, :1] + t2[:, 0], nxt[:, 1:] + t2[:, 1])
-                c, z0 = weight[:active[t]], norm[:active[t]]
-                for i in (0, 1):
-                    for j in (0, 1):
-                        pair[i, j] += (c * np.exp(f[at - 1, i] + t2[i, j] + nxt[:, j] - z0)).sum()
-            good = np.exp(f[:, 1] + b[:, 1] - np.repeat(norm, sizes))
-            grad = np.concatenate([z.T @ (of_line * (y - good)), (true_t - pair).ravel()]) - l2 * theta
-            grad /= len(kept)
+            grad = problem.gradient(theta)
+            if not chained:
+                grad[-4:] = 0.0
+                grad[NEIGHBOURS] = 0.0
             m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
             theta = theta + rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-        return cls(mean, scale, theta[:-4], theta[-4:].reshape(2, 2))
+        return cls(problem.mean, problem.scale, theta[:-4], theta[-4:].reshape(2, 2))
+
+
+class Likelihood:
+    """The mean log-likelihood of labelled chains, longest first, with an l2 penalty."""
+
+    def __init__(self, chains: list[np.ndarray], lines: list[np.ndarray], labels: np.ndarray, l2: float):
+        self.l2 = l2
+        self.sizes = sizes = np.array([len(x) for x in chains])
+        self.starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        x, self.y = np.vstack(chains), np.concatenate(lines)
+        self.mean, self.scale = x.mean(axis=0), x.std(axis=0)
+        self.mean[-1], self.scale[-1] = 0.0, 1.0
+        self.scale[self.scale < 1e-9] = 1.0
+        self.z = (x - self.mean) / self.scale
+        # both labels weigh the same, by lines, so that the score is not the classes' ratio
+        share = float(np.repeat(labels, sizes).mean())
+        self.weight = np.where(labels > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
+        self.of_line = np.repeat(self.weight, sizes)
+        self.active = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(int(sizes[0]))]
+        self.true_t = np.zeros((2, 2))
+        for y, c in zip(lines, self.weight, strict=True):
+            at = y.astype(int)
+            np.add.at(self.true_t, (at[:-1], at[1:]), c)
+        self.size = self.z.shape[1] + 4
+
+    def _forward(self, e: np.ndarray, t2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        f = np.zeros((len(e), 2))
+        for t, n in enumerate(self.active):
+            at = self.starts[:n] + t
+            if t:
+                p = f[at - 1]
+                f[at] = np.logaddexp(p[:, :1] + t2[0], p[:, 1:] + t2[1])
+            f[at, 1] += e[at]
+        last = self.starts + self.sizes - 1
+        return f, np.logaddexp(f[last, 0], f[last, 1])
+
+    def value(self, theta: np.ndarray) -> float:
+        e, t2 = self.z @ theta[:-4], theta[-4:].reshape(2, 2)
+        told = (self.of_line * self.y * e).sum() + (self.true_t * t2).sum()
+        return float(told - (self.weight * self._forward(e, t2)[1]).sum() - 0.5 * self.l2 * (theta**2).sum()) / len(self.sizes)
+
+    def gradient(self, theta: np.ndarray) -> np.ndarray:
+        """Exact: what was seen less what forward-backward expects."""
+        e, t2 = self.z @ theta[:-4], theta[-4:].reshape(2, 2)
+        f, norm = self._forward(e, t2)
+        b, pair = np.zeros_like(f), np.zeros((2, 2))
+        for t in range(len(self.active) - 1, 0, -1):
+            n = self.active[t]
+            at = self.starts[:n] + t
+            nxt = b[at].copy()
+            nxt[:, 1] += e[at]
+            b[at - 1] = np.logaddexp(nxt[:, :1] + t2[:, 0], nxt[:, 1:] + t2[:, 1])
+            for i in (0, 1):
+                for j in (0, 1):
+                    pair[i, j] += (self.weight[:n] * np.exp(f[at - 1, i] + t2[i, j] + nxt[:, j] - norm[:n])).sum()
+        good = np.exp(f[:, 1] + b[:, 1] - np.repeat(norm, self.sizes))
+        grad = np.concatenate([self.z.T @ (self.of_line * (self.y - good)), (self.true_t - pair).ravel()]) - self.l2 * theta
+        return grad / len(self.sizes)
+
+
+def middle(x: np.ndarray, rows: int = FIT_LINES) -> np.ndarray:
+    """At most so many rows, in a run around the middle."""
+    at = max(0, (len(x) - rows) // 2)
+    return x[at:at + rows]
 
 
 def is_held_out(key):
@@ -180,14 +235,15 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS) -> Cha
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(~is_held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "quality", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            rows = [line_features(t.as_py())[0].astype("<f8").tobytes() for t in batch.column(2)]
+            rows = [middle(line_features(t.as_py())[0]).astype("<f8").tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "quality", "x"])
 
-    found = texts.mapInArrow(run, "doc_id long, quality int, x binary").collect()
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    found = texts.mapInArrow(run, f"doc_id {kind}, quality int, x binary").collect()
     found.sort(key=lambda r: r.doc_id)
     chains = [np.frombuffer(bytes(r.x), "<f8").reshape(-1, WIDTH) for r in found]
     return ChainCRF.fit(chains, [r.quality for r in found])

@@ -73,3 +73,50 @@ def test_table_accuracy(spark):
     labels = spark.read.parquet(f"{at}/labels.parquet")
     got = crf.report(spark.read.parquet(f"{at}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.quality for r in got) >= 0.97 * len(got)
+
+
+def test_gradient_by_differences():
+    rng = np.random.default_rng(3)
+    chains = [rng.normal(size=(n, crf.WIDTH)) for n in (4, 3, 1)]
+    lines = [rng.integers(0, 2, size=len(x)).astype(float) for x in chains]
+    p = crf.Likelihood(chains, lines, np.array([1.0, 0.0, 1.0]), 1.0)
+    theta = rng.normal(size=p.size) * 0.3
+    got = p.gradient(theta)
+    for i in range(p.size):
+        step = np.zeros(p.size)
+        step[i] = 1e-5
+        assert got[i] == pytest.approx((p.value(theta + step) - p.value(theta - step)) / 2e-5, rel=1e-4, abs=1e-6)
+
+
+def test_value_by_enumeration():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(5, crf.WIDTH)), np.array([1.0, 0.0, 0.0, 1.0, 1.0])
+    p = crf.Likelihood([x], [y], np.array([1.0]), 0.0)
+    theta = rng.normal(size=p.size) * 0.3
+    e, t2 = p.z @ theta[:-4], theta[-4:].reshape(2, 2)
+
+    def of(labels):
+        return sum(e[t] for t, v in enumerate(labels) if v) + sum(t2[a, b] for a, b in zip(labels, labels[1:], strict=False))
+
+    total = math.log(sum(math.exp(of(c)) for c in itertools.product((0, 1), repeat=5)))
+    assert p.value(theta) == pytest.approx(p.weight[0] * (of(tuple(int(v) for v in y)) - total))
+
+
+def test_lines_change_label_inside_documents():
+    """A junk line in a good document, which few have, is marked bad; its neighbours stay good."""
+    rng = random.Random(5)
+    texts = [(good(rng, 4) + "\n" + (bad if i % 20 == 1 else good)(rng, 1) + "\n" + good(rng, 4), 1) if i % 2 else (bad(rng, 6), 0) for i in range(160)]
+    m = crf.ChainCRF.fit([crf.line_features(t)[0] for t, _ in texts], [y for _, y in texts])
+    p = m.marginals(crf.line_features(texts[1][0])[0])
+    assert p[4] < 0.5 < min(p[1], p[7])
+
+
+def test_ids_of_other_types_and_repeated_ids(spark):
+    rng = random.Random(6)
+    rows = [(f"d{i % 90}", (good if i % 2 else bad)(rng)) for i in range(90)] + [("d1", "other text"), (None, good(rng))]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    lab = spark.createDataFrame([(f"d{i}", i % 2) for i in range(90)], "doc_id string, quality int")
+    got = crf.report(d, lab).collect()
+    assert len(got) == 92 and sorted(map(tuple, got), key=str) == sorted(map(tuple, crf.report(d.repartition(5), lab).collect()), key=str)
+    ints = crf.report(d.selectExpr("CAST(substr(doc_id, 2) AS int) AS doc_id", "text"), lab.selectExpr("CAST(substr(doc_id, 2) AS int) AS doc_id", "quality"))
+    assert ints.schema["doc_id"].dataType.simpleString() == "int" and ints.count() == 92
