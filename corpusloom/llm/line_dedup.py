@@ -19,8 +19,8 @@ context, and only the first of each part stays behind, since what the rest share
 with other parts, the first shares too. An earlier first of a part goes along as
 a witness.
 
-Deletion. A maximal repeated run of at least ``min_words`` words is deleted
-wherever an earlier copy of it exists; shorter ones are left alone.
+Deletion. A maximal repeated run is deleted wherever an earlier copy of it exists;
+``min_words`` leaves shorter runs alone.
 
 Grouping aggregates before each shuffle (a smallest position and a count) and
 groups are joined back by equi-joins, which adaptive execution splits where a line
@@ -30,7 +30,8 @@ Defined cases. Null text: stays null. Empty texts and blank lines stay. A docume
 that loses all its words is dropped (or kept empty, with drop_emptied=False).
 Runs inside one document count as well. Rows equal in doc_id and text are one
 document and cut alike. Null doc_id: ordered first. Empty table: empty result.
-Extra columns pass through; working columns start with ``_ld_``.
+Very long texts and lines are taken whole; what is known of a document's runs is one
+row, of its lines at most. All columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,9 +43,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, sliced, without_space
+from corpusloom.llm.common import Scratch, fresh_name, sliced, without_space
 
-MIN_WORDS = 10
+MIN_WORDS = 1
 
 
 def sequence(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -58,27 +59,28 @@ def sequence(docs: DataFrame, text: str, key: str) -> DataFrame:
     return lines.sortWithinPartitions("doc_id", "tkey", "ln").withColumn("p", F.monotonically_increasing_id())
 
 
-def _named(rows: DataFrame, keys: list[str], scratch: Scratch | None = None) -> DataFrame:
+def _named(rows: DataFrame, keys: list[str], scratch: Scratch) -> tuple[DataFrame, str]:
     """(p, r): r the smallest position with the same keys; singletons leave.
 
-    With scratch the groups are written first: a join of two plain tables is one that
-    adaptive execution can split where a key is hot.
+    The groups are written first: a join of two plain tables is one that adaptive
+    execution can split where a key is hot.
     """
     groups = rows.groupBy(*keys).agg(F.min("p").alias("_r"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    if scratch is not None:
-        groups, _ = scratch.save(groups)
-    return rows.join(groups, keys).select("p", F.col("_r").alias("r"))
+    groups, groups_at = scratch.save(groups)
+    found = scratch.save(rows.join(groups, keys).select("p", F.col("_r").alias("r")))
+    scratch.drop(groups_at)
+    return found
 
 
 def suffix_levels(lines: DataFrame, scratch: Scratch) -> list[DataFrame]:
     """Level k: (p, r) of the suffixes that share their next 2^k lines."""
-    now, _ = scratch.save(_named(lines.where("id is not null").select("p", "id"), ["id"], scratch))
+    now, _ = _named(lines.where("id is not null").select("p", "id"), ["id"], scratch)
     levels = []
     while not now.isEmpty():
         levels.append(now)
         step = 1 << (len(levels) - 1)
         ahead = now.select((F.col("p") - step).alias("p"), F.col("r").alias("r2"))
-        now, _ = scratch.save(_named(now.join(ahead, "p"), ["r", "r2"]))
+        now, _ = _named(now.join(ahead, "p"), ["r", "r2"], scratch)
     return levels
 
 
@@ -102,12 +104,14 @@ def copied_prefixes(levels: list[DataFrame], scratch: Scratch) -> DataFrame | No
         nxt = levels[d].select(F.col("p").alias("_at"), F.col("r").alias("r2"))
         seen = state.join(nxt, F.col("p") + F.col("l") == F.col("_at"), "left").drop("_at")
         parts = seen.where("r2 is not null").groupBy("ctx", "l", "r2").agg(F.min("p").alias("m"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        parts, parts_at = scratch.save(parts)
         seen = seen.join(parts, ["ctx", "l", "r2"], "left")
         stay = F.struct("ctx", "l", "active")
         move = F.struct(F.col("m").alias("ctx"), (F.col("l") + (1 << d)).alias("l"), (F.col("p") != F.col("m")).alias("active"))
         out = F.when(F.col("m").isNull(), F.array(stay)).when(F.col("p") != F.col("m"), F.array(move)).otherwise(F.array(move, stay))
         state = seen.select("p", F.explode(out).alias("x")).select("p", "x.*")
         state, at = scratch.save(state)
+        scratch.drop(parts_at)
         if old:
             scratch.drop(old)
         old = at
@@ -136,16 +140,17 @@ def cut(text: str | None, runs: list[tuple[int, int]], min_words: int) -> tuple[
 
 
 def _with_runs(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """docs with _ld_runs: the runs of its lines that have an earlier copy."""
+    """docs with one more column: the runs of its lines that have an earlier copy."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     lines, _ = scratch.save(sequence(docs, text, key))
     found = copied_prefixes(suffix_levels(lines, scratch), scratch)
+    runs, same_id, same_text = (fresh_name(docs, f"_ld_{n}") for n in ("runs", "id", "text"))
     if found is None:
-        return docs.withColumn("_ld_runs", F.lit(None).cast("array<struct<ln:int,l:bigint>>"))
-    per = found.join(lines, "p").groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("ln", "l")).alias("_ld_runs"))
-    per = per.select(F.col("doc_id").alias("_ld_id"), F.col("tkey").alias("_ld_key"), "_ld_runs")
-    same = docs[key].eqNullSafe(per["_ld_id"]) & (F.xxhash64(docs[text]) == per["_ld_key"])
-    return docs.join(per, same, "left").drop("_ld_id", "_ld_key")
+        return docs.withColumn(runs, F.lit(None).cast("array<struct<ln:int,l:bigint>>"))
+    per = found.join(lines, "p").groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("ln", "l")).alias(runs))
+    per = per.select(F.col("doc_id").alias(same_id), F.col("tkey").alias(same_text), runs)
+    same = docs[key].eqNullSafe(per[same_id]) & (F.xxhash64(docs[text]) == per[same_text])
+    return docs.join(per, same, "left").select(*docs.columns, runs)
 
 
 def _runs(value) -> list[tuple[int, int]]:

@@ -81,4 +81,13 @@ def test_columns_and_edges(spark):
     assert got.columns == df.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(2, "new", "x"), (1, f"old\n{long}", "y"), (4, None, "n"), (None, "alone", "q")], key=str)
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+    clash = line_dedup.dedup_lines(df.selectExpr("*", "7 AS _ld_text", "8 AS _ld_runs"))
+    assert clash.columns == [*df.columns, "_ld_text", "_ld_runs"] and {(r._ld_text, r._ld_runs) for r in clash.collect()} == {(7, 8)}
     assert line_dedup.dedup_lines(df, drop_emptied=False).count() == 6
+
+
+def test_short_runs(spark):
+    rows = [(1, "one two three\nfour five\nown"), (2, "one two three\nfour five"), (3, "x\nRead more now"), (4, "y\nRead more now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, line_dedup.dedup_lines(df).collect())) == [rows[0], rows[2], (4, "y")]
+    assert sorted(map(tuple, line_dedup.dedup_lines(df, min_words=5).collect())) == [rows[0], rows[2], rows[3]]
