@@ -2,8 +2,9 @@
 
 Outcomes of labelled pages are counted per host, registered domain and public
 suffix. Each level's rate is shrunk towards its parent's by a beta prior whose
-mean is the parent's posterior mean and whose strength is ``prior_strength``
-pseudo-pages; the root prior is the rate over all labelled pages. A host is
+mean is the parent's posterior mean and whose strength, in pseudo-pages, is fitted
+to how far the level's own rates scatter (moments of the beta-binomial, between 1
+and 1000); the root prior is the rate over all labelled pages. A host is
 blocked when the lower bound of its posterior bad rate exceeds a threshold.
 
 Counts are pre-aggregated before every shuffle; a host with a third of the pages
@@ -12,8 +13,10 @@ execution splits when a host is hot.
 
 Defined cases. Null url, or one without ``://``: empty host and path; such pages
 share the reputation of the empty host. Null html: no outcome. A host without
-labelled pages is judged by its domain's, suffix's and the root's rates. Empty
-tables give empty results. Repeated rows each get their row and count as often.
+labelled pages is judged by its domain's, suffix's and the root's rates. Of rules as
+long as each other the later wins. Very long html is read whole, row by row. Empty
+tables give empty results. Repeated rows each get their row and count as often. Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import lower_ascii
+from corpusloom.llm.common import Scratch, lower_ascii
 
 # The rules of the query, (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -61,25 +64,42 @@ def junk_outcome(html: Column, threshold: float = 0.05) -> Column:
     return (noise > threshold * F.length(text)).cast("int")
 
 
-def reputations(outcomes: DataFrame, prior_strength: float = 8.0, z: float = 1.645) -> DataFrame:
+def strength(groups: DataFrame, n: str, k: str, p: str, least: float = 1.0, most: float = 1000.0) -> Column:
+    """The beta prior's pseudo-pages m by moments, over groups with k of n at a mean p.
+
+    Beta-binomial outcomes vary by n p (1 - p) (1 + (n - 1) / (m + 1)); the excess over the
+    binomial part gives m. No excess, or no group with two pages, gives the most.
+    """
+    n, k, p = F.col(n), F.col(k), F.col(p)
+    seen, plain = (k - n * p) * (k - n * p), n * p * (1.0 - p)
+    return groups.agg(F.coalesce(F.sum(seen - plain), F.lit(0.0)).alias("_over"), F.coalesce(F.sum(plain * (n - 1.0)), F.lit(0.0)).alias("_base")).select(
+        F.when(F.col("_over") <= 0.0, most).when(F.col("_base") <= 0.0, most)
+        .otherwise(F.least(F.lit(most), F.greatest(F.lit(least), F.col("_base") / F.col("_over") - 1.0))).alias("m")
+    )
+
+
+def reputations(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     """(host, bad_rate, bad_low) for every host of outcomes (host, outcome 0/1/null)."""
     suffix, domain = suffix_and_domain(F.col("host"))
-    n, k = F.count("outcome"), F.coalesce(F.sum("outcome"), F.lit(0))
-    hosts = outcomes.groupBy("host").agg(n.alias("n"), k.alias("k"))
-    hosts = hosts.withColumns({"suffix": suffix, "domain": domain})
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
-    root = suffixes.agg(F.sum("sn").alias("rn"), F.sum("sk").alias("rk"))
-    m = float(prior_strength)
-    t = suffixes.join(F.broadcast(root))
-    t = t.withColumn("sp", (F.col("sk") + m * (F.col("rk") + 0.5) / (F.col("rn") + 1.0)) / (F.col("sn") + m))
-    t = domains.join(t.select("suffix", "sp"), "suffix")
-    t = t.withColumn("dp", (F.col("dk") + m * F.col("sp")) / (F.col("dn") + m))
-    t = hosts.join(t.select("domain", "dp"), "domain")
-    a, b = F.col("k") + m * F.col("dp"), F.col("n") - F.col("k") + m * (1.0 - F.col("dp"))
-    mean = a / (a + b)
+    n, k = F.count("outcome").cast("double"), F.coalesce(F.sum("outcome"), F.lit(0)).cast("double")
+    scratch = Scratch(outcomes.sparkSession, "reputation")
+    hosts, _ = scratch.save(outcomes.groupBy("host").agg(n.alias("n"), k.alias("k")).withColumns({"suffix": suffix, "domain": domain}))
+    domains, _ = scratch.save(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
+    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    root = suffixes.agg(((F.sum("k") + 0.5) / (F.sum("n") + 1.0)).alias("p"))
+
+    def shrunk(level: DataFrame, parents: DataFrame, on: list[str], name: str) -> DataFrame:
+        """level with p, its parent's mean, m, the level's strength, and its own posterior mean."""
+        seen, _ = scratch.save(level.join(parents, on) if on else level.join(F.broadcast(parents)))
+        found = seen.join(F.broadcast(strength(seen, "n", "k", "p")))
+        return found.withColumn(name, (F.col("k") + F.col("m") * F.col("p")) / (F.col("n") + F.col("m")))
+
+    s = shrunk(suffixes, root, [], "mean").select("suffix", F.col("mean").alias("p"))
+    d = shrunk(domains, s, ["suffix"], "mean").select("domain", F.col("mean").alias("p"))
+    t = shrunk(hosts, d, ["domain"], "mean")
+    a, b = F.col("k") + F.col("m") * F.col("p"), F.col("n") - F.col("k") + F.col("m") * (1.0 - F.col("p"))
     sd = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1.0)))
-    return t.select("host", mean.alias("bad_rate"), (mean - z * sd).alias("bad_low"))
+    return t.select("host", F.col("mean").alias("bad_rate"), (a / (a + b) - z * sd).alias("bad_low"))
 
 
 def judge(pages: DataFrame, rules=RULES, block_above: float = 0.5, outcome: Column | None = None, **priors) -> DataFrame:
@@ -112,19 +132,19 @@ WITH u AS (
          CASE WHEN regexp_matches(host, '[^.]*\.(ac|co|com|edu|gov|net|or|org)\.[a-z]{2}$') THEN regexp_extract(host, '([^.]*\.[^.]*\.[^.]*)$', 1)
               WHEN host LIKE '%.%' THEN regexp_extract(host, '([^.]*\.[^.]*)$', 1) ELSE host END AS domain FROM x
 ), h AS (
-  SELECT host, suffix, domain, count(outcome) AS n, coalesce(sum(outcome), 0) AS k FROM o GROUP BY ALL
+  SELECT host, suffix, domain, count(outcome)::DOUBLE AS n, coalesce(sum(outcome), 0)::DOUBLE AS k FROM o GROUP BY ALL
 ), d AS (
-  SELECT domain, suffix, sum(n)::DOUBLE AS dn, sum(k)::DOUBLE AS dk FROM h GROUP BY ALL
+  SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL
 ), s AS (
-  SELECT suffix, sum(dn) AS sn, sum(dk) AS sk FROM d GROUP BY ALL
+  SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL
 ), r AS (
-  SELECT sum(sn) AS rn, sum(sk) AS rk FROM s
-), sp AS (
-  SELECT suffix, (sk + 8.0::DOUBLE * (rk + 0.5::DOUBLE) / (rn + 1.0::DOUBLE)) / (sn + 8.0::DOUBLE) AS sp FROM s, r
-), dp AS (
-  SELECT domain, (dk + 8.0::DOUBLE * sp) / (dn + 8.0::DOUBLE) AS dp FROM d JOIN sp USING (suffix)
-), ab AS (
-  SELECT host, k::DOUBLE + 8.0::DOUBLE * dp AS a, n::DOUBLE - k::DOUBLE + 8.0::DOUBLE * (1.0::DOUBLE - dp) AS b FROM h JOIN dp USING (domain)
+  SELECT (sum(k) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) AS p FROM s
+), s1 AS (SELECT s.*, p FROM s, r), sm AS (SELECT CASE WHEN over <= 0.0 OR base <= 0.0 THEN 1000.0::DOUBLE ELSE least(1000.0::DOUBLE, greatest(1.0::DOUBLE, base / over - 1.0::DOUBLE)) END AS m FROM (SELECT coalesce(sum((k - n * p) * (k - n * p) - n * p * (1.0::DOUBLE - p)), 0.0::DOUBLE) AS over, coalesce(sum(n * p * (1.0::DOUBLE - p) * (n - 1.0::DOUBLE)), 0.0::DOUBLE) AS base FROM s1)), s2 AS (
+  SELECT suffix, (k + m * p) / (n + m) AS p FROM s1, sm
+), d1 AS (SELECT d.*, p FROM d JOIN s2 USING (suffix)), dm AS (SELECT CASE WHEN over <= 0.0 OR base <= 0.0 THEN 1000.0::DOUBLE ELSE least(1000.0::DOUBLE, greatest(1.0::DOUBLE, base / over - 1.0::DOUBLE)) END AS m FROM (SELECT coalesce(sum((k - n * p) * (k - n * p) - n * p * (1.0::DOUBLE - p)), 0.0::DOUBLE) AS over, coalesce(sum(n * p * (1.0::DOUBLE - p) * (n - 1.0::DOUBLE)), 0.0::DOUBLE) AS base FROM d1)), d2 AS (
+  SELECT domain, (k + m * p) / (n + m) AS p FROM d1, dm
+), h1 AS (SELECT h.*, p FROM h JOIN d2 USING (domain)), hm AS (SELECT CASE WHEN over <= 0.0 OR base <= 0.0 THEN 1000.0::DOUBLE ELSE least(1000.0::DOUBLE, greatest(1.0::DOUBLE, base / over - 1.0::DOUBLE)) END AS m FROM (SELECT coalesce(sum((k - n * p) * (k - n * p) - n * p * (1.0::DOUBLE - p)), 0.0::DOUBLE) AS over, coalesce(sum(n * p * (1.0::DOUBLE - p) * (n - 1.0::DOUBLE)), 0.0::DOUBLE) AS base FROM h1)), ab AS (
+  SELECT host, k + m * p AS a, n - k + m * (1.0::DOUBLE - p) AS b FROM h1, hm
 ), lo AS (
   SELECT host, a / (a + b) - 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1.0::DOUBLE))) AS bad_low FROM ab
 ), f AS (

@@ -58,3 +58,44 @@ def test_suffixes(spark):
     df = spark.createDataFrame([(h,) for h in hosts], "h string")
     s, d = u.suffix_and_domain(F.col("h"))
     assert {r.h: (r.s, r.d) for r in df.select("h", s.alias("s"), d.alias("d")).collect()} == hosts
+
+
+def test_reputations_against_brute(spark):
+    """Strengths by moments at each level, posterior means and bounds."""
+    import random
+
+    import pytest
+
+    rng = random.Random(7)
+    hosts = {f"h{i}.d{i % 12}.{('com', 'org', 'de')[i % 3]}": (rng.randint(0, 30), rng.choice([0.05, 0.1, 0.9])) for i in range(60)}
+    rows = [(h, int(rng.random() < p)) for h, (n, p) in hosts.items() for _ in range(n)] + [(h, None) for h in hosts]
+    got = {r.host: (r.bad_rate, r.bad_low) for r in u.reputations(spark.createDataFrame(rows, "host string, outcome int")).collect()}
+    own = {h: (sum(a == h and b is not None for a, b in rows), sum(b or 0 for a, b in rows if a == h)) for h in hosts}
+
+    def summed(of, parts):
+        out = {}
+        for x, (n, k) in parts.items():
+            a, b = out.get(of(x), (0, 0))
+            out[of(x)] = (a + n, b + k)
+        return out
+
+    def up(x):
+        return x.split(".", 1)[1]
+
+    domains = summed(up, own)
+    suffixes = summed(up, domains)
+    n, k = (sum(x) for x in zip(*suffixes.values(), strict=True))
+
+    def fitted(level, mean):
+        over = sum((k - n * mean(x)) ** 2 - n * mean(x) * (1 - mean(x)) for x, (n, k) in level.items())
+        base = sum(n * mean(x) * (1 - mean(x)) * (n - 1) for x, (n, k) in level.items())
+        m = 1000.0 if over <= 0 or base <= 0 else min(1000.0, max(1.0, base / over - 1))
+        return m, {x: (k + m * mean(x)) / (n + m) for x, (n, k) in level.items()}
+
+    _, s = fitted(suffixes, lambda x: (k + 0.5) / (n + 1))
+    _, d = fitted(domains, lambda x: s[up(x)])
+    m, h = fitted(own, lambda x: d[up(x)])
+    for x, (n_x, k_x) in own.items():
+        a, b = k_x + m * d[up(x)], n_x - k_x + m * (1 - d[up(x)])
+        low = a / (a + b) - 1.645 * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5
+        assert got[x] == pytest.approx((h[x], low))
