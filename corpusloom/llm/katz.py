@@ -3,12 +3,12 @@
 Model. Counts are Good-Turing discounted (the log-linear form of Gale and Sampson:
 n_r ~ r^b, so r* = r (1 + 1/r)^(b+1), a discount at every r) and
 
-    p(w)     = r*(w) / N, the rest being the mass of any unknown word;
-    p(w | h) = r*(hw) / c(h)       if the pair was seen min_count times or more,
+    p(w)     = r*(w) / N, the rest being the mass of one class that all unknown words are;
+    p(w | h) = r*(hw) / c(h)       if the pair was seen (min_count times or more),
                alpha(h) p(w)       else,
 
 with alpha(h) = (1 - sum of p(w|h)) / (1 - sum of p(w)) over the kept pairs of h,
-so that every history's distribution sums to one. A text is its words and an end,
+so that every history's distribution over the words and the unknown class sums to one. A text is its words and an end,
 read from a start that is only ever a history.
 
 Tables. Words and pairs are keyed by 64-bit hashes and dealt to buckets by key, so a
@@ -23,8 +23,9 @@ weight and word, else unknown. Counts, exchanges and evaluation cover every row
 whole texts; nothing is broadcast but the fitted constants.
 
 Defined cases. Null or empty text: the end only. No training row: N = V = 0, and both
-scores are 0. Repeated rows count and are scored each. Null doc_id: trains.
-Empty table: empty result. Other columns are not read.
+scores are 0. Repeated rows count and are scored each. Null doc_id: trains. Very long
+texts make a block of their own. Empty table: empty result. Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -44,10 +45,8 @@ from corpusloom.llm.common import LOWER, UPPER, Scratch
 
 BLOCK_CHARS = 5_000_000
 BUCKET_TOKENS = 1_000_000
-MIN_COUNT = 2
+MIN_COUNT = 1  # pairs seen less often are left to backoff
 HELD_OUT, HELD_OUT_IS = 7, 2
-#: Counts of counts up to here fit the Good-Turing line.
-FIT_RANGE = 1000
 LEAST_BUCKETS = 32
 
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -168,7 +167,7 @@ class Discounts:
 
 def slope(counts: dict[int, int]) -> float:
     """b of n_r ~ r^b from averaged counts of counts; always below -1."""
-    r = np.array(sorted(x for x in counts if 0 < x <= FIT_RANGE), dtype=np.int64)
+    r = np.array(sorted(x for x in counts if x > 0), dtype=np.int64)
     if len(r) < 2:
         return -1.5
     n = np.array([counts[x] for x in r.tolist()], dtype=float)
@@ -284,13 +283,19 @@ def _told(asked: DataFrame, min_count: int) -> DataFrame:
 
 
 def _constants(told: DataFrame, texts: int) -> Discounts:
-    """From the buckets' counts of counts, read one bucket at a time."""
-    word_n: dict[int, int] = defaultdict(int)
-    pair_n: dict[int, int] = defaultdict(int)
-    for row in told.where("block = -1").toLocalIterator():
-        for into, data in ((word_n, row.words), (pair_n, row.pairs)):
-            for r, n in np.frombuffer(bytes(data), "<i8").reshape(-1, 2).tolist():
-                into[r] += n
+    """From the buckets' counts of counts, summed before the driver reads them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for pair in (False, True):
+                    r = np.frombuffer(batch.column(int(pair))[i].as_buffer(), "<i8").reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array([pair] * len(r), pa.bool_()), pa.array(r[:, 0], pa.int64()), pa.array(r[:, 1], pa.int64())], ["pair", "r", "n"])
+
+    rows = told.where("block = -1").select("words", "pairs").mapInArrow(run, "pair boolean, r long, n long")
+    word_n, pair_n = {}, {}
+    for row in rows.groupBy("pair", "r").agg(F.sum("n").alias("n")).toLocalIterator():
+        (pair_n if row.pair else word_n)[row.r] = row.n
     types = sum(word_n.values())
     return Discounts(texts, types, word_n, pair_n)
 

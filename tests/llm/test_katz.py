@@ -17,7 +17,7 @@ def tokens(text):
 class Brute:
     """The same model from plain dictionaries, with its own arithmetic."""
 
-    def __init__(self, rows, min_count=2):
+    def __init__(self, rows, min_count=1):
         train = [tokens(t) for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
         self.uni = Counter(w for t in train for w in t)
         self.pair = Counter(p for t in train for p in zip(["START", *t[:-1]], t, strict=True))
@@ -27,14 +27,17 @@ class Brute:
         self.unk = 1 - sum(self.star(c, self.bu) for c in self.uni.values()) / max(self.n, 1)
         self.kept = {p: c for p, c in self.pair.items() if c >= min_count}
         self.alpha = {}
+        after = {}
+        for (x, w), c in self.kept.items():
+            after.setdefault(x, []).append((w, c))
         for h in self.history:
-            own = [(w, c) for (x, w), c in self.kept.items() if x == h]
+            own = after.get(h)
             if own:
                 self.alpha[h] = (1 - sum(self.star(c, self.bp) / self.history[h] for _, c in own)) / (1 - sum(self.word(w) for w, _ in own))
 
     @staticmethod
     def slope(counts):
-        nn = Counter(c for c in counts.values() if c <= 1000)
+        nn = Counter(counts.values())
         r = sorted(nn)
         if len(r) < 2:
             return -1.5
@@ -81,8 +84,10 @@ def test_against_brute(spark):
     rows += [(500, None), (501, ""), (502, " \n"), (503, rows[0][1]), (503, rows[0][1]), (504, "only here"), (506, "x " * 3000)]
     model = Brute(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS block", "2 AS bucket").repartition(3)
-    got = [tuple(r) for r in katz.score(df, block_chars=900).collect()]
+    got = [tuple(r) for r in katz.score(df, block_chars=900, bucket_tokens=20).collect()]
     same(got, [model.row(*r) for r in rows])
+    cut = Brute(rows, min_count=2)
+    same([tuple(r) for r in katz.score(df, block_chars=900, min_count=2).collect()], [cut.row(*r) for r in rows])
     for h in list(model.history)[:20]:  # every history's distribution sums to one
         assert sum(model.p(h, w) for w in model.uni) + model.alpha.get(h, 1.0) * model.unk == pytest.approx(1.0)
 
@@ -112,6 +117,12 @@ def test_query_keeps_pairs_seen_once(spark, tmp_path):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(30)], k=20))) for i in range(30)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    model = Brute(rows, min_count=1)
+    model = Brute(rows)
     assert 1 in model.kept.values()
     same([tuple(r) for r in QUERIES["op8_lm_scoring"](spark, str(tmp_path)).collect()], [model.row(*r) for r in rows])
+
+
+def test_null_ids_train(spark):
+    rows = [(None, "a b a"), (None, "a b"), (1, "a c")]
+    got = katz.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 3 and {r.train_tokens for r in got} == {sum(len(tokens(t)) for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 7 != 2)}
