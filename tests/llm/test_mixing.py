@@ -60,3 +60,17 @@ def test_edges(spark):
 def test_native(spark, tiny_dir):
     plan = mixing.mixing_report(spark.read.parquet(f"{tiny_dir}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_names_and_rows_without_ids(spark):
+    rows = [(None, f"word {i}", "a", i) for i in range(400)] + [(7, f"more {i}", "a", i) for i in range(400)] + [(i, "x y", "b", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_size long")
+    got = mixing.mix(df, weights=(1, 2), share=1.2)
+    assert got.columns == df.columns and {r._mix_size for r in got.collect()} <= set(range(400))
+    taken = {None: 0, 7: 0}
+    for r in got.collect():
+        if r.doc_id in taken and r.source == "a":
+            taken[r.doc_id] += 1
+    rate = targets({"a": 1600, "b": 800}, (1, 2), 1.2)["a"] / 1600
+    for n in taken.values():  # drawn apart, so near the rate
+        assert abs(n - 400 * rate) < 60
