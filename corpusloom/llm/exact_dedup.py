@@ -77,8 +77,8 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     joined = copies.join(best, ["level", "gid"])
     alone = found.where("gid is null").withColumns({"group_size": F.lit(1).cast("long"), "keep_id": F.col("doc_id")})
     columns = ["doc_id", "keep_id", "group_size", "text_sha256", "n_chars"]
-    # dealt by document as well: (level, gid) alone may be hot
-    chosen = F.row_number().over(Window.partitionBy("doc_id", "level", "gid").orderBy(F.desc("n_chars"))) == 1
+    # the group in one column, so that rows are dealt by document too: (level, gid) alone may be hot
+    chosen = F.row_number().over(Window.partitionBy("doc_id", F.struct("level", "gid")).orderBy(F.desc("n_chars"))) == 1
     joined = joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & chosen)
     return joined.select(*columns, "kept").unionByName(alone.select(*columns, F.lit(True).alias("kept")))
 
