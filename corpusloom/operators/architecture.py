@@ -73,6 +73,13 @@ def subsystems(files: DataFrame, edges: DataFrame) -> DataFrame:
     return found.withColumns({c: F.coalesce(F.col(c), none) for c in ("dependencies", "dependents", "entry_files")})
 
 
+def containing(found: DataFrame, kind: str, value: str) -> DataFrame:
+    """The subsystems (as subsystems gives them) that hold a file, module or package."""
+    if kind not in ("file", "module", "package"):
+        raise ValueError(f"unknown kind: {kind}")
+    return found.where(F.array_contains(f"{kind}s", value))
+
+
 def package_layers(files: DataFrame, edges: DataFrame) -> DataFrame:
     """(group, node, layer): layers of packages inside each subsystem."""
     f = files.select("path").distinct()

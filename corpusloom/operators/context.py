@@ -104,6 +104,21 @@ def select_with_focus(ranked: DataFrame, spans: DataFrame, budget: int, by: str
         run, f"{by} {kind}, path string, position int, start_line int, end_line int, tokens bigint, selected boolean, reason string")
 
 
+def with_spans(taken: DataFrame, spans: DataFrame, paths: list[str] | None = None, by: str = "query_id") -> DataFrame:
+    """Each whole file, followed by one item for each of its spans; paths limits which files.
+
+    taken: (by, path, position, start_line, end_line, tokens); spans: (path, start_line,
+    end_line, tokens). Pieces that are spans already stay as they are. Items are numbered
+    by item in the order of position, start and end line.
+    """
+    whole = taken.where("start_line is null")
+    whole = whole if paths is None else whole.where(F.col("path").isin(paths))
+    columns = [by, "path", "position", "start_line", "end_line", "tokens"]
+    parts = whole.select(by, "path", "position").join(spans.select("path", "start_line", "end_line", "tokens").distinct(), "path").select(*columns)
+    order = [F.col("position"), F.col("start_line").asc_nulls_first(), F.col("end_line")]
+    return taken.select(*columns).unionByName(parts).withColumn("item", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+
+
 def truncated(source: Column, remaining: int) -> Column:
     return F.left(source, F.lit(remaining * CHARS_PER_TOKEN))
 

@@ -103,13 +103,16 @@ def _replace_all(line: Column, types: Column, detectors, placeholder: str) -> Co
 
 
 def safe_files(files: DataFrame, detectors=DETECTORS, enabled: bool = True, text: str = "source") -> DataFrame:
-    """(path, decision, safe_source): what may leave; disabled, all passes."""
+    """(path, decision, safe_source): what may leave; disabled, all passes.
+
+    A text that is missing can't be scanned, so it is blocked.
+    """
     if not enabled:
         return files.select("path", F.lit("allow").alias("decision"), F.col(text).alias("safe_source"))
     found = findings(files, detectors, text)
     per = found.groupBy("path").agg(F.collect_set("type").alias("_types"), F.collect_set("line").alias("_lines"), F.max(F.col("severity").isin("high", "medium")).alias("_f"))
     joined = files.join(per, "path", "left")
-    block = path_block(F.col("path")).isNotNull()
+    block = path_block(F.col("path")).isNotNull() | F.col(text).isNull()
     decision = F.when(block, "block").when(F.col("_f"), "redact").otherwise("allow")
     body = F.when(block, BLOCKED_TEXT).when(F.col("_f"), redacted(F.col(text), F.col("_types"), F.col("_lines"), detectors)).otherwise(F.col(text))
     return joined.select("path", decision.alias("decision"), body.alias("safe_source"))

@@ -43,19 +43,22 @@ def neighbours(edges: DataFrame, node, outgoing: bool = True) -> DataFrame:
     return out.distinct().orderBy("node")
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_depth: int, max_nodes: int | None = None) -> DataFrame:
-    """(query_id, node, depth) for nodes within max_depth steps; starts are left out.
+def reach(edges: DataFrame, starts: DataFrame, max_depth: int, max_nodes: int | None = None, cycles: bool = False) -> DataFrame:
+    """(query_id, node, depth) for nodes within max_depth steps.
 
-    starts: (query_id, node). With max_nodes, the nodes of a query are kept in the
-    order of depth and name.
+    starts: (query_id, node). They are left out; with cycles, one that a step leads back to
+    is a node like others. With max_nodes, the nodes of a query are kept in the order of
+    depth and name.
     """
+    if max_depth < 0:
+        raise ValueError("max_depth must not be negative")
     spark = edges.sparkSession
     scratch = Scratch(spark, "reach")
     seen = scratch.save(starts.select("query_id", "node", F.lit(0).alias("depth")).distinct())
     frontier, levels = seen, [seen]
     for depth in range(1, max_depth + 1):
         step = frontier.select("query_id", F.col("node").alias("src")).join(edges, "src").select("query_id", F.col("dst").alias("node")).distinct()
-        for level in levels:
+        for level in levels[1:] if cycles else levels:
             step = step.join(level.select("query_id", "node"), ["query_id", "node"], "left_anti")
         frontier = scratch.save(step.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():

@@ -82,6 +82,16 @@ def merge_surface(items: DataFrame) -> DataFrame:
     ).select("path", "direction", "relationship", "depth", F.col("_x.reason").alias("reason"), F.col("_x.source").alias("source"), "evidence")
 
 
+def surface_views(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of a surface: what is directly affected, what transitively, and its distinct files.
+
+    Files come as (path, position), numbered by their first place in the surface.
+    """
+    first = items.groupBy("path").agg(F.min("position").alias("_at"))
+    files = first.select("path", F.row_number().over(Window.orderBy("_at")).alias("position"))
+    return items.where("depth = 1"), items.where("depth >= 2"), files
+
+
 def surface_summary(items: DataFrame) -> DataFrame:
     """Counts by relationship, by direction and by depth class in one pass."""
     spread = items.withColumn("depth_class", F.when(F.col("depth") <= 1, "direct").otherwise("transitive"))

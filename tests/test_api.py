@@ -1,7 +1,10 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import api
+from corpusloom.operators import architecture, impact, plan
 from corpusloom.operators.corpus import TargetError
 from corpusloom.operators.plan import plan_risk
 from tests.test_code import root  # noqa: F401
@@ -90,10 +93,67 @@ def test_plan(engine):
     assert "tests/test_pay.py" in {r.path for r in p["tests"].collect()}
     c = engine.change_context("fix the Gateway in app/payments.py", max_tokens=500)
     assert c["context"]["total_estimated_tokens"] <= 500
+    assert {"matched_symbols", "blocked_files", "firewall"} <= set(c["context"])
+    why = engine.explain_change(c, "app/payments.py")
+    assert why["in_plan"] and why["selected"] and why["firewall"] == "allowed" and why["category"] == "primary_target"
+    assert engine.explain_change(c, "no/such.py")["budget_status"] == "not_considered"
     with pytest.raises(api.ArgumentError):
         engine.change_plan("x", "../out.py")
 
 
+def test_plan_payload(engine):
+    p = engine.change_plan_payload("fix the Gateway in app/payments.py")
+    assert json.loads(json.dumps(p)) == p
+    assert p["primary_target"]["target"] == "app/payments.py" and p["risk"] in ("low", "medium", "high")
+    place = {a["target"]: a for a in p["architecture"]}["app/payments.py"]
+    assert (place["kind"], place["package"], place["subsystem"]) == ("file", "app", "app")
+    assert place["dependencies"] == ["app._helpers", "app.models"] and place["dependents"] == ["main", "tests.test_pay"]
+    assert [i["priority"] for i in p["inspection_order"]] == list(range(1, len(p["inspection_order"]) + 1))
+    module = engine.change_plan_payload("update app.payments", "app.payments")
+    assert "public/API-facing symbols affected" in module["risk_factors"]
+    assert module["inspection_order"][0]["path"] == "app/payments.py"
+
+
+def test_kept_items(spark):
+    rows = [("a", "primary_target", "primary"), ("b", "test", "test_of"), ("c", "direct_caller", "direct_caller"), ("d", "direct_dependency", "direct_callee"), ("e", "direct_dependency", "direct_dependency"), ("f", "architecture_entry", "x")]
+    items = spark.createDataFrame(rows, "path string, category string, relationship string")
+    left = lambda **off: "".join(sorted(r.path for r in plan.kept_items(items, **off).collect()))
+    assert left() == "abcdef" and left(tests=False) == "acdef" and left(callers=False) == "abdef"
+    assert left(callees=False) == "abcef" and left(dependencies=False) == "abcdf" and left(architecture=False) == "abcde"
+
+
+def test_package_module(spark):
+    got = spark.createDataFrame([("a/__init__.py",), ("a/b.py",), ("c.py",)], "path string").select(plan.dotted(F.col("path")).alias("m"))
+    assert [r.m for r in got.collect()] == ["a", "a.b", "c"]
+
+
+def test_impact_context(engine):
+    r = engine.impact_context("app/models.py", max_tokens=10000)
+    paths = [x.path for x in r["selection"].where("selected").orderBy("position").collect()]
+    assert paths[:2] == ["app/models.py", "app/payments.py"] and "main.py" in paths
+    assert engine.change_question_context("what breaks if make changes")["target"]
+    with pytest.raises(TargetError):
+        engine.change_question_context("zzz qqq")
+
+
+def test_architecture_context(engine):
+    wide = api.Engine(engine.corpus, architecture=True)
+    got = {r.path: r for r in wide.candidates("payments").collect()}
+    assert any(r.inclusion_reason == "architecture" for r in got.values())
+    assert len(got) >= engine.candidates("payments").count()
+
+
+def test_views(engine):
+    near, far, files = impact.surface_views(engine.change_surface("app/models.py"))
+    assert all(r.depth == 1 for r in near.collect()) and all(r.depth >= 2 for r in far.collect())
+    order = [r.path for r in files.orderBy("position").collect()]
+    assert len(order) == len(set(order)) and set(order) == {r.path for r in near.union(far).collect()}
+    subs = engine.discover_subsystems()
+    assert [r.subsystem for r in architecture.containing(subs, "module", "app.models").collect()] == ["app"]
+    with pytest.raises(ValueError):
+        architecture.containing(subs, "planet", "x")
+
+
 def test_plan_risk():
     assert plan_risk({"tests": 3}) == ("low", [])
     level, why = plan_risk({"affected": 25, "callers": 6, "tests": 0, "subsystems": 2})

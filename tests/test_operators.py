@@ -92,3 +92,27 @@ def test_firewall(spark):
     assert got["secrets.py"][0] == got["b.py"][0] == got["s.py"][0] == "allow"
     assert not firewall.is_safe(firewall.decisions(files, firewall.findings(files)))
     assert {r.decision for r in firewall.safe_files(files, enabled=False).collect()} == {"allow"}
+
+
+def test_reach_with_cycles(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
+    start = spark.createDataFrame([("q", "a")], "query_id string, node string")
+    found = lambda **way: {r.node: r.depth for r in graph.reach(edges, start, 4, **way).collect()}
+    assert found() == {"b": 1, "c": 2, "d": 3}
+    assert found(cycles=True) == {"b": 1, "c": 2, "a": 3, "d": 3}
+    assert graph.reach(edges, start, 0, cycles=True).isEmpty()
+    with pytest.raises(ValueError):
+        graph.reach(edges, start, -1)
+
+
+def test_with_spans(spark):
+    taken = spark.createDataFrame([("q", "a.py", 1, None, None, 9), ("q", "b.py", 2, 3, 4, 2), ("q", "c.py", 3, None, None, 5)], "query_id string, path string, position int, start_line int, end_line int, tokens bigint")
+    spans = spark.createDataFrame([("a.py", 5, 6, 1), ("a.py", 1, 2, 1), ("b.py", 3, 4, 2), ("c.py", 1, 1, 1)], "path string, start_line int, end_line int, tokens bigint")
+    rows = lambda **way: [(r.path, r.start_line) for r in X.with_spans(taken, spans, **way).orderBy("item").collect()]
+    assert rows() == [("a.py", None), ("a.py", 1), ("a.py", 5), ("b.py", 3), ("c.py", None), ("c.py", 1)]
+    assert rows(paths=["c.py"]) == [("a.py", None), ("b.py", 3), ("c.py", None), ("c.py", 1)]
+
+
+def test_unread_text_is_blocked(spark):
+    files = spark.createDataFrame([("a.py", None), ("b.py", "")], "path string, source string")
+    assert {r.path: r.decision for r in firewall.safe_files(files).collect()} == {"a.py": "block", "b.py": "allow"}
