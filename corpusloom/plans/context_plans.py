@@ -9,6 +9,7 @@ from corpusloom.functions.text import token_estimate
 from corpusloom.operators import context as C
 from corpusloom.operators import firewall as W
 from corpusloom.operators import incremental as N
+from corpusloom.operators import plan as L
 from corpusloom.plans.bind import FILES_SQL, document_files, table
 from corpusloom.streaming import events as E
 
@@ -84,6 +85,27 @@ def budget_focus(spark, d):
     return C.select_with_focus(r, spans, BUDGET)
 
 
+def files_with_spans(spark, d):
+    """Each candidate as a whole, then its first two tens of lines."""
+    r = C.rank_candidates(_candidates(spark, d)).select("query_id", "path", "position", F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), "tokens")
+    spans = r.select("path", F.explode(F.array(F.lit(1), F.lit(11))).alias("start_line"), "tokens").select("path", "start_line", (F.col("start_line") + 9).alias("end_line"), F.floor(F.col("tokens") / 10).cast("bigint").alias("tokens"))
+    out = C.with_spans(r, spans)
+    return out.select("query_id", "path", F.coalesce("start_line", F.lit(0)).cast("bigint").alias("start_line"), "tokens", F.col("item").cast("bigint").alias("item"))
+
+
+def change_items_kept(spark, d):
+    """Items of orders by category, without tests and callees."""
+    categories = F.array(*[F.lit(c) for c in _CATEGORIES])
+    k = F.col("o_orderkey")
+    items = table(spark, d, "orders").select(k.cast("string").alias("path"), F.get(categories, (k % 6).cast("int")).alias("category"), F.when(k % 5 == 0, "direct_callee").otherwise("direct_dependency").alias("relationship"))
+    return L.kept_items(items, tests=False, callees=False).groupBy("category", "relationship").agg(F.count("*").alias("items"))
+
+
+_CATEGORIES = ("primary_target", "test", "indirect_caller", "direct_dependency", "indirect_test", "architecture_entry")
+_KEPT_SQL = f"""WITH x AS (SELECT o_orderkey % 6 AS c, CASE WHEN o_orderkey % 5 = 0 THEN 'direct_callee' ELSE 'direct_dependency' END AS relationship FROM orders)
+SELECT ({list(_CATEGORIES)})[c + 1] AS category, relationship, count(*) AS items FROM x WHERE c IN (0, 2) OR (c IN (3, 5) AND relationship <> 'direct_callee') GROUP BY ALL"""
+
+
 #: A detector for the secrets that documents hold, beside the built-in ones.
 TOKEN_DETECTOR = W.Detector("token_assignment", r'token = "[0-9a-f]{40}"', "api_token", "high", "Potential token assignment detected")
 DETECTORS = (*W.DETECTORS, TOKEN_DETECTOR)
@@ -210,7 +232,7 @@ def event_props(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    candidate_rank, dedupe_first, budget_greedy, budget_running_spend, budget_report, budget_unlimited, budget_focus, firewall_findings, firewall_decision, redact_lines, incremental_diff, stale_prune_anti,
+    candidate_rank, dedupe_first, budget_greedy, budget_running_spend, budget_report, budget_unlimited, budget_focus, files_with_spans, change_items_kept, firewall_findings, firewall_decision, redact_lines, incremental_diff, stale_prune_anti,
     incremental_misses, set_union, set_intersect, set_except, top_n_per_group, outcome_counts_rollup, document_json, rendered_context, fingerprint, event_props)}
 QUERIES |= {"event_tumbling": lambda s, d: E.tumbling(table(s, d, "events")), "event_sliding": lambda s, d: E.sliding(table(s, d, "events")), "event_sessions": lambda s, d: E.sessions(table(s, d, "events"))}
 ORACLE_SQL = {
@@ -220,6 +242,9 @@ ORACLE_SQL = {
     "budget_running_spend": f"{GREEDY_SQL} SELECT query_id, position, ({BUDGET} - remaining_before)::BIGINT AS spent_before, ({BUDGET} - remaining_before + CASE WHEN selected THEN tokens ELSE 0 END)::BIGINT AS spent_after, (remaining_before - CASE WHEN selected THEN tokens ELSE 0 END)::BIGINT AS remaining_after, CASE reason WHEN 'over_budget' THEN 'remaining_budget_too_small' ELSE reason END AS category FROM greedy",
     "budget_report": f"{GREEDY_SQL} SELECT query_id, count(*) FILTER (selected) AS selected_items, count(*) FILTER (NOT selected) AS excluded_items, coalesce(sum(tokens) FILTER (selected), 0)::BIGINT AS spent, ({BUDGET} - coalesce(sum(tokens) FILTER (selected), 0))::BIGINT AS unused, count(*) FILTER (reason = 'exceeds_total_budget') AS oversized, count(*) FILTER (reason = 'over_budget') AS over_budget, round(coalesce(sum(tokens) FILTER (selected), 0) / {BUDGET}.0::DOUBLE, 6) AS utilisation, round(avg(tokens) FILTER (selected), 6) AS mean_selected_tokens, round(median(tokens) FILTER (selected), 6) AS median_selected_tokens FROM greedy GROUP BY query_id",
     "budget_unlimited": f"WITH {CANDIDATES_SQL} SELECT query_id, count(*) AS selected_items, sum(tokens)::BIGINT AS tokens FROM cand GROUP BY query_id",
+    "files_with_spans": f"""WITH {CANDIDATES_SQL}, u AS (SELECT query_id, path, position, 0::BIGINT AS start_line, tokens FROM ranked UNION ALL SELECT query_id, path, position, unnest([1, 11])::BIGINT, (tokens // 10)::BIGINT FROM ranked)
+SELECT query_id, path, start_line, tokens, row_number() OVER (PARTITION BY query_id ORDER BY position, start_line) AS item FROM u""",
+    "change_items_kept": _KEPT_SQL,
     "firewall_findings": f"WITH {_GUARD_SQL} SELECT path, line, 'token_assignment' AS detector, 'high' AS severity, matches FROM fd",
     "firewall_decision": f"WITH {_GUARD_SQL} SELECT path, {_DECIDE} AS decision FROM g",
     "redact_lines": f"""WITH {_GUARD_SQL}, x AS (SELECT path, source, {_DECIDE} AS decision FROM g) SELECT path, decision, sha256(CASE decision WHEN 'block' THEN '[BLOCKED by firewall]' WHEN 'redact' THEN regexp_replace(source, 'token = "[0-9a-f]{{40}}"', '[REDACTED]', 'g') ELSE coalesce(source, '') END) AS safe_hash FROM x""",

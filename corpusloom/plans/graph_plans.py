@@ -55,6 +55,17 @@ def reach_both_ways(spark, d):
     return G.reach(e.union(G.reverse(e)).distinct(), _seeds(e), 2).select("query_id", "node", F.col("depth").cast("bigint").alias("depth"))
 
 
+def reach_cycles(spark, d):
+    """Nodes within three steps of the seeds; a seed on a cycle reaches itself."""
+    e = part_edges(spark, d)
+    return G.reach(e, _seeds(e), 3, cycles=True).select("query_id", "node", F.col("depth").cast("bigint").alias("depth"))
+
+
+CYCLES_SQL = f"""WITH RECURSIVE {EDGES_SQL}, {SEEDS_SQL}, walk AS (SELECT DISTINCT query_id, dst AS node, 1 AS depth FROM seeds JOIN edges ON src = node UNION
+  SELECT w.query_id, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 3)
+SELECT query_id, node, min(depth)::BIGINT AS depth FROM walk GROUP BY ALL"""
+
+
 def _reach_sql(join: str, depth: int) -> str:
     return f"""WITH RECURSIVE {EDGES_SQL}, {SEEDS_SQL}, walk AS (SELECT query_id, node, 0 AS depth FROM seeds UNION
   SELECT w.query_id, e.b, w.depth + 1 FROM walk w JOIN ({join}) e ON e.a = w.node WHERE w.depth < {depth})
@@ -261,7 +272,7 @@ def top_dependents(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    edge_build, degree_in_out, neighbours_of_node, bfs_depth2, reverse_reach4, reach_both_ways, bfs_multi_seed_roles, shortest_chains, direct_dependents_semi, longest_prefix_join,
+    edge_build, degree_in_out, neighbours_of_node, bfs_depth2, reverse_reach4, reach_both_ways, reach_cycles, bfs_multi_seed_roles, shortest_chains, direct_dependents_semi, longest_prefix_join,
     arch_nodes, containment_tree, arch_statistics, package_edges, subsystem_projection, package_layers, merge_priority, impact_summary_pivot, impact_risk, surface_merge, surface_summary, top_dependents)}
 ORACLE_SQL = {
     "edge_build": f"WITH {EDGES_SQL} SELECT src, dst FROM edges",
@@ -270,6 +281,7 @@ ORACLE_SQL = {
     "bfs_depth2": _reach_sql(_FWD, 2),
     "reverse_reach4": _reach_sql(_REV, 4),
     "reach_both_ways": _reach_sql(f"{_FWD} UNION {_REV}", 2),
+    "reach_cycles": CYCLES_SQL,
     "bfs_multi_seed_roles": ROLES_SQL,
     "shortest_chains": CHAINS_SQL,
     "direct_dependents_semi": "SELECT DISTINCT c_nationkey::BIGINT AS src, l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_nationkey = c_nationkey)",

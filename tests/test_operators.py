@@ -111,8 +111,3 @@ def test_with_spans(spark):
     rows = lambda **way: [(r.path, r.start_line) for r in X.with_spans(taken, spans, **way).orderBy("item").collect()]
     assert rows() == [("a.py", None), ("a.py", 1), ("a.py", 5), ("b.py", 3), ("c.py", None), ("c.py", 1)]
     assert rows(paths=["c.py"]) == [("a.py", None), ("b.py", 3), ("c.py", None), ("c.py", 1)]
-
-
-def test_unread_text_is_blocked(spark):
-    files = spark.createDataFrame([("a.py", None), ("b.py", "")], "path string, source string")
-    assert {r.path: r.decision for r in firewall.safe_files(files).collect()} == {"a.py": "block", "b.py": "allow"}
