@@ -30,9 +30,9 @@ def l2_normalise(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Within [-1, 1]; 0 if either norm is 0."""
-    n = norm(a) * norm(b)
+def cosine(a: Column, b: Column, norms: Column | None = None) -> Column:
+    """Within [-1, 1]; 0 if either norm is 0. norms: their product, if it is known."""
+    n = norm(a) * norm(b) if norms is None else norms
     return F.when(n > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(a, b) / n))).otherwise(0.0)
 
 

@@ -21,8 +21,9 @@ def similarities(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     queries: (query_id, vector), a stated set that is checked to be small enough to
     send to every task.
     """
-    asked = F.broadcast(queries.select("query_id", F.col("vector").alias("_q")))
-    return vectors.join(asked).select("query_id", "path", V.cosine(F.col("vector"), F.col("_q")).alias("similarity"))
+    asked = F.broadcast(queries.select("query_id", F.col("vector").alias("_q"), V.norm(F.col("vector")).alias("_qn")))
+    own = vectors.select("path", "vector", V.norm(F.col("vector")).alias("_n"))  # once a vector, not once a pair
+    return own.join(asked).select("query_id", "path", V.cosine(F.col("vector"), F.col("_q"), F.col("_n") * F.col("_qn")).alias("similarity"))
 
 
 def query_blocks(queries: DataFrame, rows: int = BLOCK_QUERIES) -> list[DataFrame]:
