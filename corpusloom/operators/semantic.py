@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,26 +9,38 @@ from corpusloom.functions import vectors as V
 from corpusloom.operators.search import ranked, small
 
 CANDIDATES = 40
-#: Queries of one block: a block is sent to every task, and the top of its scores kept there.
-BLOCK_QUERIES = 10_000
+#: Vectors or queries of one block, and numbers in it; blocks of vectors that there are at least,
+#: and vectors that a block is worth.
+BLOCK_ROWS, BLOCK_NUMBERS, LEAST_BLOCKS, LEAST_ROWS = 65_536, 1 << 22, 16, 4_096
+
+
+def _numbers(table: DataFrame) -> DataFrame:
+    """Vectors that are given, as floats or doubles."""
+    exact = table.schema["vector"].dataType.elementType.typeName() in ("float", "double")
+    return table.where("vector is not null").withColumn("vector", F.col("vector") if exact else F.col("vector").cast("array<double>"))
 
 
-def similarities(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, path, similarity): each stated query against all vectors.
+def nearest(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """(query_id, path, similarity): up to ``limit`` rows a query from each block of vectors, the best among them.
 
-    queries: (query_id, vector), a stated set that is checked to be small enough to
-    send to every task.
+    Each block of vectors meets each block of queries in a group of its own, so every query is
+    compared with all vectors, whatever the number of either.
     """
-    asked = F.broadcast(queries.select("query_id", F.col("vector").alias("_q"), V.norm(F.col("vector")).alias("_qn")))
-    own = vectors.select("path", "vector", V.norm(F.col("vector")).alias("_n"))  # once a vector, not once a pair
-    return own.join(asked).select("query_id", "path", V.cosine(F.col("vector"), F.col("_q"), F.col("_n") * F.col("_qn")).alias("similarity"))
+    asked, width = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
+    rows = max(1, min(BLOCK_ROWS, BLOCK_NUMBERS // max(width or 1, 1)))
+    count = vectors.count()
+    of_vectors = max(-(-count // rows), min(LEAST_BLOCKS, -(-count // LEAST_ROWS)), 1)
+    of_queries = max(-(-asked // rows), 1)
 
+    def dealt(table: DataFrame, key: str, own: int, others: int, block) -> DataFrame:
+        at = F.pmod(F.xxhash64(key, "vector"), F.lit(own)).cast("int")
+        return _numbers(table.select(key, "vector")).withColumn("_own", at).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).withColumn("_block", block).select("_block", key, "vector")
 
-def query_blocks(queries: DataFrame, rows: int = BLOCK_QUERIES) -> list[DataFrame]:
-    """queries in parts of about that many rows, by a hash of their ids."""
-    n = -(-queries.count() // rows) or 1
-    at = F.pmod(F.xxhash64("query_id"), F.lit(n))
-    return [queries if n == 1 else queries.where(at == i) for i in range(n)]
+    mine = dealt(vectors, "path", of_vectors, of_queries, F.col("_own") * of_queries + F.col("_other"))
+    theirs = dealt(queries, "query_id", of_queries, of_vectors, F.col("_other") * of_queries + F.col("_own"))
+    kind = lambda t, c: t.schema[c].dataType.simpleString()
+    schema = f"query_id {kind(queries, 'query_id')}, path {kind(vectors, 'path')}, similarity double"
+    return mine.groupBy("_block").cogroup(theirs.groupBy("_block")).applyInArrow(lambda x, q: V.nearest(x, q, limit), schema)
 
 
 def semantic_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, candidates: DataFrame | None = None) -> DataFrame:
@@ -39,8 +49,7 @@ def semantic_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, can
     candidates: (query_id, path) pairs, as from a lexical search; only they are compared.
     """
     if candidates is None:
-        blocks = [ranked(similarities(vectors, b).where("similarity > 0"), "similarity", max(limit, 0)) for b in query_blocks(queries)]
-        return reduce(DataFrame.unionByName, blocks)
+        return ranked(nearest(vectors, queries, max(limit, 0)), "similarity", max(limit, 0))
     pairs = candidates.select("query_id", "path").join(small(queries.select("query_id", F.col("vector").alias("_q"))), "query_id")
     scored = vectors.join(pairs, "path").select("query_id", "path", V.cosine(F.col("vector"), F.col("_q")).alias("similarity"))
     return ranked(scored.where("similarity > 0"), "similarity", max(limit, 0))
