@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.search import small
+
 
 def per_query(retrieved: DataFrame, relevant: DataFrame, k: int = 5, queries: DataFrame | None = None) -> DataFrame:
     """(query_id, retrieved, relevant, hits, precision, recall, reciprocal_rank).
@@ -13,17 +15,41 @@ def per_query(retrieved: DataFrame, relevant: DataFrame, k: int = 5, queries: Da
     by what was retrieved. Every query of ``queries`` (query_id) gets a row, else every query
     that has relevant files; one without any scores 0.
     """
+    truth = relevant.select("query_id", "path").distinct()
+    want = truth.groupBy("query_id").agg(F.count("*").alias("relevant"))
+    if queries is not None:
+        want = queries.select("query_id").distinct().join(want, "query_id", "left")
+    return _scores(_top(retrieved, k), truth, want)
+
+
+def per_query_by_label(retrieved: DataFrame, members: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """per_query where the members of a query's labels are its relevant files.
+
+    members: (path, label); queries: (query_id, label), a row for each label of a query. Members
+    are counted once for each set of labels and looked up for what was retrieved, so they are
+    never listed query by query.
+    """
+    top = _top(retrieved, k)
+    members, queries = (t.where("label is not null").distinct() for t in (members.select("path", "label"), queries.select("query_id", "label")))
+    asked = queries.groupBy("query_id").agg(F.sort_array(F.collect_set("label")).alias("_labels"))
+    sets = small(asked.select("_labels").distinct().select("_labels", F.explode("_labels").alias("label")))
+    counts = members.join(sets, "label").select("_labels", "path").distinct().groupBy("_labels").agg(F.count("*").alias("relevant"))
+    truth = top.select("query_id", "path").join(queries, "query_id").join(members, ["path", "label"]).select("query_id", "path").distinct()
+    return _scores(top, truth, asked.join(counts, "_labels").select("query_id", "relevant"))
+
+
+def _top(retrieved: DataFrame, k: int) -> DataFrame:
     if k < 1:
         raise ValueError("k must be positive")
-    top = retrieved.where(F.col("rank") <= k).select("query_id", "path", "rank")
-    truth = relevant.select("query_id", "path").distinct().withColumn("_hit", F.lit(1))
-    joined = top.join(truth, ["query_id", "path"], "left")
+    return retrieved.where(F.col("rank") <= k).select("query_id", "path", "rank")
+
+
+def _scores(top: DataFrame, truth: DataFrame, want: DataFrame) -> DataFrame:
+    """The rows of per_query; truth: the distinct relevant (query_id, path), at least those in top."""
+    joined = top.join(truth.withColumn("_hit", F.lit(1)), ["query_id", "path"], "left")
     got = joined.groupBy("query_id").agg(
         F.count("*").alias("retrieved"), F.count("_hit").alias("hits"), F.min(F.when(F.col("_hit").isNotNull(), F.col("rank"))).alias("first_rank")
     )
-    want = truth.groupBy("query_id").agg(F.count("*").alias("relevant"))
-    if queries is not None:
-        want = queries.select("query_id").distinct().join(want, "query_id", "left")
     out = want.join(got, "query_id", "left").fillna(0, ["retrieved", "relevant", "hits"])
     part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return out.select(

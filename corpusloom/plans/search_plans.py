@@ -140,6 +140,13 @@ def minmax_normalise(spark, d):
     return o.select("o_orderkey", F.round(fusion.min_max(F.col("o_totalprice"), w), 6).alias("scaled"))
 
 
+def _cases(spark, d):
+    """Neighbours of equal label are the relevant ones."""
+    top = semantic.semantic_search(_vectors(spark, d), _probe(spark, d), 5)
+    probe = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("query_id"), "label")
+    return evaluate.per_query_by_label(top, _vectors(spark, d), probe, 5)
+
+
 def precision_recall_mrr(spark, d):
     """Neighbours of equal label are the relevant ones."""
     top = semantic.semantic_search(_vectors(spark, d), _probe(spark, d), 5)
@@ -156,10 +163,7 @@ cases AS (SELECT w.query_id, coalesce(retrieved, 0) AS retrieved, relevant, coal
 
 
 def evaluation_summary(spark, d):
-    top = semantic.semantic_search(_vectors(spark, d), _probe(spark, d), 5)
-    probe = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("label").alias("label"))
-    truth = _vectors(spark, d).join(search.small(probe), "label").select("query_id", "path")
-    s = evaluate.summary(evaluate.per_query(top, truth, 5))
+    s = evaluate.summary(_cases(spark, d))
     return s.select("queries", *[F.round(c, 6).alias(c) for c in ("mean_precision", "mean_recall", "mrr")])
 
 

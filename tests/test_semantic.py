@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from corpusloom.operators import semantic
+from corpusloom.operators import evaluate, semantic
 from corpusloom.plans import catalog
 
 
@@ -58,3 +58,29 @@ def test_pairs_are_no_rows(spark, tiny_dir, name):
     """A similarity search doesn't make a row of every pair."""
     plan = catalog.QUERIES[name](spark, tiny_dir)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_relevance_by_label(spark):
+    """Looked up by label, the relevant files give what listing them query by query gives."""
+    rng = random.Random(4)
+    members = [(rng.choice([None, *(f"p{i}" for i in range(30))]), rng.choice([None, 1, 2, 3, 4])) for _ in range(80)]
+    queries = [(rng.choice([None, *(f"q{i}" for i in range(12))]), rng.choice([None, 1, 2, 3, 9])) for _ in range(25)]
+    top = [(f"q{q}", f"p{p}", i + 1) for q in range(14) for i, p in enumerate(rng.sample(range(30), rng.randint(0, 7)))]
+    members = spark.createDataFrame(members, "path string, label int")
+    queries = spark.createDataFrame(queries, "query_id string, label int")
+    top = spark.createDataFrame(top, "query_id string, path string, rank int")
+    want = evaluate.per_query(top, members.join(queries, "label"), 5)
+    got = evaluate.per_query_by_label(top, members, queries, 5)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    with pytest.raises(ValueError):
+        evaluate.per_query_by_label(top, members, queries, 0)
+
+
+@pytest.mark.parametrize("name", ["evaluation_summary"])
+def test_relevant_files_are_not_listed(spark, tiny_dir, monkeypatch, name):
+    """Of the relevant files only those retrieved become rows."""
+    real, seen = evaluate._scores, []
+    monkeypatch.setattr(evaluate, "_scores", lambda top, truth, want: seen.append((top.count(), truth.count())) or real(top, truth, want))
+    catalog.QUERIES[name](spark, tiny_dir)
+    assert seen and all(truth <= top for top, truth in seen)
