@@ -148,11 +148,7 @@ def _cases(spark, d):
 
 
 def precision_recall_mrr(spark, d):
-    """Neighbours of equal label are the relevant ones."""
-    top = semantic.semantic_search(_vectors(spark, d), _probe(spark, d), 5)
-    probe = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("label").alias("label"))
-    truth = _vectors(spark, d).join(search.small(probe), "label").select("query_id", "path")
-    cases = evaluate.per_query(top, truth, 5)
+    cases = _cases(spark, d)
     return cases.select("query_id", "retrieved", "relevant", "hits", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "reciprocal_rank")])
 
 

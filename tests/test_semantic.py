@@ -77,7 +77,7 @@ def test_relevance_by_label(spark):
         evaluate.per_query_by_label(top, members, queries, 0)
 
 
-@pytest.mark.parametrize("name", ["evaluation_summary"])
+@pytest.mark.parametrize("name", ["evaluation_summary", "precision_recall_mrr"])
 def test_relevant_files_are_not_listed(spark, tiny_dir, monkeypatch, name):
     """Of the relevant files only those retrieved become rows."""
     real, seen = evaluate._scores, []
