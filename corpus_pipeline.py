@@ -25,7 +25,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of the smallest doc_id."""
+    """One document of each near-duplicate group stays: that of the smallest doc_id.
+
+    Linked fingerprints propose by multi-index hashing and shingle sets decide; an exact search
+    by prefixes follows for the pairs of the same similarity that fingerprints don't reach.
+    """
     return simhash.drop_near_copies(docs)
 
 

@@ -172,7 +172,8 @@ def near_components(docs: DataFrame, words: int = 3, distance: int = 2, distinct
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-# Near-duplicates by similarity: prefixes of the shingle sets propose, the sets decide.
+# Near-duplicates by similarity: linked fingerprints propose first, prefixes of the shingle sets
+# propose what fingerprints can't reach, the sets decide.
 
 FREQUENT = 200_000  # shingles ordered last; which ones are never changes the result
 FREQUENT_SAMPLE, FREQUENT_LEAST = 16, 3
@@ -269,7 +270,7 @@ def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, similar
 
 
 def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, sig, n, prefix): sig tells sets apart by 128 bits, n is a set's size."""
+    """(doc_id, fp, sig, n, prefix): sig tells sets apart by 128 bits, n is a set's size."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,13 +282,27 @@ def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
             sets = _sets(batch.column(1), words)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    batch.column(0), pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int32()), _lists([prefix(s, common, counts, similarity, marks) for s in sets]),
                 ],
-                ["doc_id", "sig", "n", "prefix"],
+                ["doc_id", "fp", "sig", "n", "prefix"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sig binary, n int, prefix array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, sig binary, n int, prefix array<bigint>")
+
+
+def fingerprint_pairs(marked: DataFrame, scratch: Scratch, distance: int = 2) -> DataFrame:
+    """(a, b) that connect all documents of (doc_id, fp) whose fingerprints are linked.
+
+    Each document is paired with the first of its fingerprint, and the first documents of
+    linked fingerprints with each other.
+    """
+    unique, _ = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    linked, _ = scratch.save(links(unique, scratch, distance))
+    one, two = (unique.select(F.col("fp").alias(c), F.col("first").alias(d)) for c, d in (("u", "a"), ("v", "b")))
+    across = linked.join(one, "u").join(two, "v").select("a", "b")
+    within = marked.join(unique, "fp").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    return across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def similar_pairs(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
@@ -338,10 +353,11 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     """(doc_id, component_id) of documents whose component has a smaller doc_id.
 
     doc_ids are distinct and not null. Pairs of five-word-shingle similarity 0.8 or more are
-    linked. Equal sets are collapsed. Other such pairs share a shingle of their prefixes. Star
-    rounds first compare each document with one that shares its keys, which joins large groups
-    with few comparisons; then every pair that shares a key and still lies in different
-    components is decided, so none is missed.
+    linked. Equal sets are collapsed. Then multi-index hashing proposes: documents whose
+    fingerprints are linked are compared by their sets. Fingerprints don't reach all pairs of the
+    similarity, but all share a shingle of their prefixes: star rounds compare each document with
+    one that shares its keys, which joins large groups with few comparisons; at last every pair
+    that shares a key and still lies in different components is decided, so none is missed.
     """
     scratch = scratch or Scratch(docs.sparkSession, "similar")
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
@@ -350,6 +366,7 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     copied, copied_at = scratch.save(copied)
     same, same_at = scratch.save(marked.select("doc_id", "sig").join(copied, "sig").where("doc_id <> a").select(F.col("doc_id").alias("u"), F.col("a").alias("v")))
     kept = marked.join(same.select(F.col("u").alias("doc_id")), "doc_id", "left_anti")
+    printed, _ = scratch.save(kept.select("doc_id", "fp"))
     table = kept.select("doc_id", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("at"))
     several, several_at = scratch.save(table.groupBy("at").count().where("count > 1").select("at"))
     table, _ = scratch.save(table.join(several, "at", "left_semi"))
@@ -369,7 +386,8 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, words: int = 5,
             scratch.drop(path)
         return found, n
 
-    root = components(same, scratch)
+    more, _ = decided(fingerprint_pairs(printed, scratch))
+    root = components(same.union(more), scratch)
     scratch.drop(same_at)
     for turn in range(STAR_ROUNDS):
         rows, at = _in_components(table, root, scratch)

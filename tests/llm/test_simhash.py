@@ -203,3 +203,56 @@ def test_rows_that_share_an_id(spark):
     got = simhash.drop_near_copies(df)
     assert got.columns == df.columns
     assert sorted(r.row for r in got.collect()) == ["p", "q", "t"]
+
+
+def linked_sets(fps, pairs):
+    """{index: smallest index reachable over pairs}."""
+    low = list(range(len(fps)))
+    moved = True
+    while moved:
+        moved = False
+        for a, b in pairs:
+            if low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                moved = True
+    return low
+
+
+def test_fingerprint_pairs(spark):
+    """Pairs of documents connect what fingerprints within two bits connect, copies included."""
+    from corpusloom.llm.common import Scratch
+
+    rng = random.Random(21)
+    base = [rng.getrandbits(64) for _ in range(15)]
+    fps = []
+    for _ in range(300):
+        f = rng.choice(base)
+        for _ in range(rng.randint(0, 4)):
+            f ^= 1 << rng.randrange(64)
+        fps.append(f)
+    marked = spark.createDataFrame([(i, int(np.uint64(f).astype(np.int64))) for i, f in enumerate(fps)], "doc_id long, fp long")
+    pairs = [tuple(r) for r in simhash.fingerprint_pairs(marked, Scratch(spark, "test")).collect()]
+    assert all(a < b and (fps[a] ^ fps[b]).bit_count() <= 2 for a, b in pairs)
+    assert linked_sets(fps, pairs) == brute_components(list(enumerate(fps)))
+
+
+def test_pipeline_stage_is_by_fingerprints(spark, monkeypatch):
+    """Without the exact search that follows, linked fingerprints join near copies, but only similar ones."""
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    vocab = [f"w{i}" for i in range(4000)]
+    rows, near = [], set()
+    for _ in range(30):
+        words = rng.choices(vocab, k=1500)
+        rows.append((len(rows), " ".join(words)))
+        words[rng.randrange(1500)] = "changed"
+        if ((simhash.fingerprint(rows[-1][1]) ^ simhash.fingerprint(" ".join(words))) & (2**64 - 1)).bit_count() <= 2:
+            near.add(len(rows))
+        rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows), "a b c d"), (len(rows) + 1, "a b c d " * 40)]  # similar in no way that counts
+    for name in ("star_pairs", "open_pairs"):
+        monkeypatch.setattr(simhash, name, lambda rows, *a: rows.select("doc_id", "doc_id").toDF("a", "b").limit(0))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id for r in corpus_pipeline.near_copies(spark, df, "").collect()}
+    assert near and left == {d for d, _ in rows} - near
